@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import FLAGS, count_of, let, line_count, lines_of, parameter_count, prefix_sum
+from .text import FLAGS, count_of, let, line_count, parameter_count, prefix_sum
 
 # What counts as an import, a function header, a type, an export
 # and a branch.
@@ -55,37 +55,60 @@ def functions(content: Column, body_mode: str = "reference") -> Column:
     mode the brace that ends a declaration header counts as opened.
     """
 
-    def from_lines(lines: Column) -> Column:
+    def from_text(unix: Column) -> Column:
+        # Splitting leaves one empty string behind a final newline.
+        last = F.when(F.endswith(unix, F.lit("\n")), 1).otherwise(0)
+        braces = F.split(F.regexp_replace(unix, r"[^{}\n]++", ""), "\n", -1)
         return let(
-            prefix_sum(F.transform(lines, _braces)),
-            lambda depth: F.concat(
-                _pass(content, DECLARATION, lines, depth, 1 if body_mode == "block" else 0),
-                _pass(content, ARROW, lines, depth, 0),
+            F.struct(
+                F.split(unix, "\n", -1).alias("lines"),
+                prefix_sum(F.transform(braces, _net)).alias("depth"),
+                last.alias("last"),
+            ),
+            lambda t: F.concat(
+                _pass(content, DECLARATION, t, 1 if body_mode == "block" else 0),
+                _pass(content, ARROW, t, 0),
             ),
         )
 
-    return let(lines_of(content), from_lines)
+    return F.when(
+        F.contains(content, F.lit("function")) | F.contains(content, F.lit("=>")),
+        let(F.replace(content, F.lit("\r\n"), F.lit("\n")), from_text),
+    ).otherwise(F.array())
 
 
 def _braces(text: Column) -> Column:
     return count_of(text, "{") - count_of(text, "}")
 
 
-def _pass(content: Column, header: str, lines: Column, depth: Column, opened: int) -> Column:
-    # Pieces that each end with a header, the last one being the rest of the file.
-    pieces = F.regexp_extract_all(content, F.lit(rf"{FLAGS}(?s:.*?)(?:{header}|\z)"), F.lit(0))
-    ending = rf"{FLAGS}{header}\z"
+def _net(braces: Column) -> Column:
+    """Opening minus closing, in a text of braces only."""
+    return F.length(F.replace(braces, F.lit("}"), F.lit(""))) * 2 - F.length(braces)
+
+
+def _pass(content: Column, header: str, text: Column, opened: int) -> Column:
+    lines, depth = text["lines"], text["depth"]
+    # Headers and the stretches between them, in turn: a header starts a line and ends
+    # inside one, so no two headers meet, and the first piece tells which comes first.
+    pattern = rf"{FLAGS}{header}|(?:(?!{header})[^\n]*+(?:\n|\z))++"
 
     def locate(ps: Column) -> Column:
+        offset = F.when(F.get(ps, F.lit(0)).rlike(rf"(?dU)\A{header}"), 0).otherwise(1)
         return let(
-            prefix_sum(F.transform(ps, lambda p: count_of(p, "\n"))),
-            lambda rows: F.transform(
-                ps,
-                lambda p, i: F.struct(
-                    F.regexp_extract(p, ending, 0).alias("header"),
-                    F.get(rows, i).alias("row"),
-                    F.get(ps, i + 1).alias("rest"),
+            F.struct(offset.alias("offset"), prefix_sum(F.transform(ps, lambda p: count_of(p, "\n"))).alias("rows")),
+            lambda at: F.filter(
+                F.transform(
+                    ps,
+                    lambda p, i: F.when(
+                        (i % 2 == at["offset"]) & (p != ""),
+                        F.struct(
+                            p.alias("header"),
+                            F.get(at["rows"], i).alias("row"),
+                            F.coalesce(F.get(ps, i + 1), F.lit("")).alias("rest"),
+                        ),
+                    ),
                 ),
+                lambda f: f.isNotNull(),
             ),
         )
 
@@ -94,22 +117,28 @@ def _pass(content: Column, header: str, lines: Column, depth: Column, opened: in
         first = F.regexp_extract(f["rest"], r"(?d)\A(.*?)(?:\r?\n|\z)", 1)
 
         def cut(line: Column) -> Column:
-            left = F.get(depth, f["row"]) - _braces(line) - opened
-            after = F.size(lines) - f["row"] - 1
-            later = F.array_position(F.slice(depth, f["row"] + 2, F.greatest(after, F.lit(0))), left)
-            taken = (
-                F.when(_braces(line) + opened == 0, F.lit(0))
-                .when(later > 0, later.cast("int"))
-                .otherwise(F.greatest(after, F.lit(0)))
+            after = F.greatest(F.size(lines) - text["last"] - f["row"] - 1, F.lit(0))
+            later = let(
+                F.get(depth, f["row"]) - _braces(line) - opened,
+                lambda left: F.array_position(F.slice(depth, f["row"] + 2, after), left).cast("int"),
             )
-            text = F.array_join(F.concat(F.array(line), F.slice(lines, f["row"] + 2, taken)), "\n")
+            taken = F.when(_braces(line) + opened == 0, F.lit(0)).otherwise(
+                F.coalesce(F.nullif(later, F.lit(0)), after)
+            )
+            taken_lines = F.concat(F.array(line), F.slice(lines, f["row"] + 2, taken))
             # Nothing at all follows the header: no line, so no newline either.
-            return F.when(f["rest"] == "", F.lit("")).otherwise(F.concat(text, F.lit("\n")))
+            return F.when(f["rest"] == "", F.lit("")).otherwise(
+                F.concat(F.array_join(taken_lines, "\n"), F.lit("\n"))
+            )
 
         return F.struct(f["header"].alias("header"), let(first, cut).alias("body"))
 
+    def groups(f: Column) -> Column:
+        parts = [F.regexp_extract(f["header"], FLAGS + header, g) for g in (1, 2, 3)]
+        return F.struct(*[p.alias(n) for p, n in zip(parts, "npr")], f["body"].alias("body"))
+
     def measure(f: Column) -> Column:
-        name, params, returned = (F.regexp_extract(f["header"], FLAGS + header, g) for g in (1, 2, 3))
+        name, params, returned = f["n"], f["p"], f["r"]
         colon = F.when(returned == "", F.lit("")).otherwise(F.concat(F.lit(": "), returned))
         return F.struct(
             name.alias("name"),
@@ -123,5 +152,5 @@ def _pass(content: Column, header: str, lines: Column, depth: Column, opened: in
             F.lit(None).cast("string").alias("summary"),
         )
 
-    found = F.filter(let(pieces, locate), lambda f: f["header"] != "")
-    return F.transform(F.transform(found, with_body), measure)
+    pieces = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+    return F.transform(F.transform(F.transform(let(pieces, locate), with_body), groups), measure)

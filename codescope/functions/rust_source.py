@@ -25,17 +25,24 @@ def _nested_comment(depth: int) -> str:
 _COMMENT = rf"(?://[^\n]*+|{_nested_comment(2)})"
 _DOC = rf"(?:(?=///(?!/)|//!|/\*\*(?![*/])|/\*!){_COMMENT})"
 _STRING = r'"(?:[^"\\]++|\\(?s:.))*+"'
-_TEXT = (
-    r'(?:(?:b|c)?r(?<h>#*+)"(?s:.*?)"\k<h>'  # raw string
-    rf"|[bc]?{_STRING}"
-    r"|b?'(?:[^'\\\n]|\\(?:x\p{XDigit}{2}|u\{[^}]*+\}|.))'"  # character
-    r"|'\w++)"  # lifetime or label
-)
-_OPAQUE = rf"(?:{_COMMENT}|{_TEXT})"
-_PLAIN = r"""(?:\w++(?!["'#])|[^\w{}()\[\];"'/])"""
+
+
+def _opaque(group: str) -> str:
+    """Comment, string, character or lifetime; ``group`` names the raw string's hashes."""
+    return (
+        rf'(?:{_COMMENT}|(?:b|c)?r(?<{group}>#*+)"(?s:.*?)"\k<{group}>|[bc]?{_STRING}'
+        r"|b?'(?:[^'\\\n]|\\(?:x\p{XDigit}{2}|u\{[^}]*+\}|.))'|'\w++)"
+    )
+
+
+_OPAQUE = _opaque("h")
+_PLAIN = r"""[^{}()\[\];"'/rbc]++|[rbc](?!r?#*+["'])"""
 # A stretch with no brackets, or with brackets that open and close inside it.
-_RUN = rf"(?:{_PLAIN}|\({_PLAIN}*+\)|\[{_PLAIN}*+\])++"
-_PIECE = rf"(?dU)(?:{_OPAQUE}|[{{}}()\[\];]|{_RUN}|\w++|(?s:.))"
+_RUN = (
+    rf"(?:{_opaque('h')}|{_PLAIN}"
+    rf"|\((?:{_opaque('i')}|{_PLAIN})*+\)|\[(?:{_opaque('j')}|{_PLAIN})*+\])++"
+)
+_PIECE = rf"(?dU)(?:{_RUN}|[{{}}()\[\];]|(?s:.))"
 
 _INNER_ATTRIBUTE = r"#!\s*\[(?:[^\[\]]|\[[^\[\]]*+\])*+\]"
 _INNER_DOC = r"(?://!|/\*!)"
