@@ -114,12 +114,14 @@ def explode_analysis(
     return _explode(lists, part)
 
 
-def needs_summary(
-    function_rows: DataFrame, languages: Sequence[LanguageExtractor] = LANGUAGES
-) -> DataFrame:
-    """Rows of a functions table that pass their language's gate."""
-    row = F.struct("lines_of_code", "cyclomatic_complexity", "name", "parameters")
+def summary_gate(languages: Sequence[LanguageExtractor] = LANGUAGES) -> Column:
+    """Whether a row of a functions table passes its language's gate."""
+    row = F.struct("name", "lines_of_code", "cyclomatic_complexity", "parameters", "returns")
     passes = F.lit(False)
     for lang in languages:
         passes = F.when(F.col("language") == lang.name, lang.gate(row)).otherwise(passes)
-    return function_rows.filter(passes)
+    return passes
+
+
+def needs_summary(functions: DataFrame, languages: Sequence[LanguageExtractor] = LANGUAGES) -> DataFrame:
+    return functions.filter(summary_gate(languages))
