@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..schema import CACHE
 from .extract import analysis
 from .languages import LANGUAGES, LanguageExtractor
+from .selection import language
 
 KEY = ["path", "last_modified"]
 
@@ -61,9 +62,15 @@ def incremental_analyze(
     )
 
 
-def next_cache(results: DataFrame, cache: DataFrame, evict: bool = False) -> DataFrame:
+def next_cache(
+    results: DataFrame,
+    cache: DataFrame,
+    evict: bool = False,
+    languages: Sequence[LanguageExtractor] = LANGUAGES,
+) -> DataFrame:
     """Cache after a run: one row per path, entries of vanished files kept by default."""
-    fresh = results.filter("analysis IS NOT NULL").select("path", "last_modified", "analysis")
+    known = results.filter(language(F.col("path"), languages).isNotNull())
+    fresh = known.select("path", "last_modified", "analysis")
     return fresh if evict else fresh.unionByName(stale_cache(results, cache).select(*fresh.columns))
 
 

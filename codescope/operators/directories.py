@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors_of, depth_of, directory_of
+from ..functions.paths import ancestors_of, directory_of
 from .selection import ignore_patterns, is_ignored
 
 # Names that make their directory a code directory.
@@ -42,13 +42,6 @@ def code_directories(
     return dirs.filter(~is_ignored(F.col("dir"), ignore_patterns(custom_ignore), root))
 
 
-def deepest_above(dirs: DataFrame, marked: DataFrame, name: str) -> DataFrame:
-    """For each directory with a marked one above it (or itself): the greatest depth."""
-    chain = dirs.select("dir", F.explode(ancestors_of(F.col("dir"))).alias("above"))
-    marks = marked.select(F.col("dir").alias("above")).distinct()
-    return chain.join(marks, "above").groupBy("dir").agg(F.max(depth_of(F.col("above"))).alias(name))
-
-
 def in_code_directory(files: DataFrame, code_dirs: DataFrame) -> DataFrame:
     """Files below some code directory, each once however many enclose it.
 

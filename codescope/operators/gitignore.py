@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.globs import gitignore_rule
 from ..functions.paths import ancestors_of, depth_of, directory_of, name_of
 from ..functions.text import let
-from .directories import deepest_above
+from ..scratch import write_through
 
 # Rule files, the first taking precedence over the second.
 RULE_FILES = (".gitignore", ".ignore")
@@ -77,14 +77,25 @@ def apply_gitignore(files: DataFrame, rules: DataFrame, code_dirs: DataFrame | N
     """Drop files that are ignored, or that lie below an ignored directory.
 
     With ``code_dirs`` the walk starts at each of those: a file stays if some code
-    directory above it is at or below every ignored directory on its path.
+    directory above it is at or below every ignored directory on its path. Only paths
+    are joined. The distinct directories and the parsed rules, a small part of the
+    path column, are read several times and so written once.
     """
-    dirs = files.select(directory_of(F.col("path")).alias("dir")).distinct()
-    entries = dirs.select(F.explode(ancestors_of(F.col("dir"))).alias("entry")).filter("entry <> ''").distinct()
-    skipped = deepest_above(dirs, _ignored(entries, rules, True).withColumnRenamed("entry", "dir"), "cut")
+    spark = files.sparkSession
+    rules = write_through(spark, rules, "ignore-rules")
+    dirs = write_through(spark, files.select(directory_of(F.col("path")).alias("dir")).distinct(), "directories")
+    chain = dirs.select("dir", F.explode(ancestors_of(F.col("dir"))).alias("above"))
+    entries = chain.filter("above <> ''").select(F.col("above").alias("entry")).distinct()
+    marks = _ignored(entries, rules, True).select(F.col("entry").alias("above"), F.lit(True).alias("skip"))
     if code_dirs is not None:
-        starts = deepest_above(dirs, code_dirs, "start")
-        skipped = skipped.join(starts, "dir", "left").filter("cut > coalesce(start, -1)")
+        marks = marks.unionByName(code_dirs.select(F.col("dir").alias("above"), F.lit(False).alias("skip")))
+    depth = depth_of(F.col("above"))
+    skipped = (
+        chain.join(marks, "above")
+        .groupBy("dir")
+        .agg(F.max(F.when(F.col("skip"), depth)).alias("cut"), F.max(F.when(~F.col("skip"), depth)).alias("start"))
+        .filter("cut > coalesce(start, -1)")
+    )
     files_out = _ignored(files.select(F.col("path").alias("entry")), rules, False)
     kept = files.join(skipped, directory_of(files["path"]) == skipped["dir"], "left_anti")
     return kept.join(files_out, kept["path"] == files_out["entry"], "left_anti")

@@ -50,7 +50,11 @@ def file_block(path: Column, analysis: Column) -> Column:
 
 
 def report_blocks(docs: DataFrame, packages: DataFrame, analyses: DataFrame) -> DataFrame:
-    """section_ord, path, text: a few lines of text per row, each ending with a newline."""
+    """section_ord, path, text: a few lines of text per row, each ending with a newline.
+
+    ``analyses`` has an analysis in every row. There is no filter on it here: pushed
+    below the projection it would run the extraction twice.
+    """
     spark = analyses.sparkSession
     headings = spark.createDataFrame(
         [
@@ -67,7 +71,7 @@ def report_blocks(docs: DataFrame, packages: DataFrame, analyses: DataFrame) ->
         F.col("name").alias("path"),
         _text("- ", F.col("name"), ": ", F.col("version"), "\n").alias("text"),
     )
-    file_rows = analyses.filter("analysis IS NOT NULL").select(
+    file_rows = analyses.select(
         F.lit(6).alias("section_ord"), "path", file_block(F.col("path"), F.col("analysis")).alias("text")
     )
     return headings.unionByName(doc_rows).unionByName(package_rows).unionByName(file_rows)

@@ -19,6 +19,7 @@ from ..operators.languages import LANGUAGES, LanguageExtractor
 from ..operators.selection import code_files, distinct_files, documentation_files, drop_ignored, ignore_patterns
 from ..operators.summarize import Summarizer, summarize
 from ..schema import CACHE
+from ..scratch import write_through
 from ..sources.manifests import packages
 from ..sources.tables import text_content
 from ..sources.tree import list_source_tree, read_contents
@@ -34,11 +35,15 @@ def collect_code_files(
     """Code files to analyse: in a code directory, not ignored, of a known extension.
 
     ``files`` needs no content; ``rule_files`` are the ignore files with theirs. The
-    cheap row filters come first, so the joins see code files only.
+    cheap row filters come first, so the joins see code files only. Code directories
+    and candidate paths are written once, as the steps behind read them repeatedly.
     """
-    dirs = code_directories(files, identifiers, custom_ignore, root)
+    spark = files.sparkSession
+    dirs = write_through(spark, code_directories(files, identifiers, custom_ignore, root), "code-directories")
     wanted = in_code_directory(code_files(drop_ignored(files, custom_ignore, root)), dirs)
-    return wanted if rule_files is None else apply_gitignore(wanted, ignore_rules(rule_files), dirs)
+    if rule_files is None:
+        return wanted
+    return apply_gitignore(write_through(spark, wanted, "candidates"), ignore_rules(rule_files), dirs)
 
 
 def collect_from_table(files: DataFrame, **options) -> DataFrame:
