@@ -1,0 +1,6 @@
+"""Source-code analytics on Spark: files are rows, extraction is a projection.
+
+``operators`` take and return DataFrames, ``functions`` are column expressions,
+``sources`` produce file tables, ``plans`` are whole runs and ``streaming`` works on
+snapshots that keep arriving.
+"""

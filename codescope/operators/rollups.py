@@ -54,9 +54,8 @@ def export_index(exports: DataFrame) -> DataFrame:
     to the per-symbol counts is left to the adaptive planner to split.
     """
     where = exports.select("export", "path").distinct()
-    counts = exports.groupBy("export", "path").agg(F.lit(1).alias("one")).groupBy("export").agg(
-        F.count("one").alias("files")
-    )
+    # Counted from the same distinct rows, whose shuffle Spark then runs once.
+    counts = where.groupBy("export").agg(F.count(F.lit(1)).alias("files"))
     return where.join(counts, "export").withColumn("duplicated", F.col("files") > 1)
 
 

@@ -47,9 +47,8 @@ class TreeReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         """Breadth first from the root until there are enough directories to share out."""
-        if self.skip is not None and any(
-            re.fullmatch(f"(?s)(?:{self.skip})", part) for part in (self.root, *self.root.split("/"))
-        ):
+        # A root that lies in an ignored directory yields nothing.
+        if any(self._skipped(part) for part in (self.root, *self.root.split("/"))):
             return [Slice("", False)]
         out, level, opened = [], [self.root], 0
         while level and len(out) + len(level) < self.slices and opened < _DRIVER_DIRECTORIES:

@@ -240,13 +240,13 @@ REPORT = f"""
   UNION ALL SELECT 4, name, concat('- ', name, ': ', version) FROM packages
   UNION ALL SELECT 5, '', concat({NL}, '## Code Analysis')
   UNION ALL SELECT 6, path, concat('## ', path, {NL}, {NL},
-    coalesce((SELECT concat('**Imports:**', {NL}, string_agg(concat('- ', import, {NL}), '' ORDER BY ord), {NL}) FROM all_imports a WHERE a.path = c.path), ''),
+    coalesce((SELECT concat('**Imports:**', {NL}, string_agg(concat('- ', import, {NL}), '' ORDER BY ord), {NL}) FROM all_imports a WHERE a.path = c.path HAVING count(*) > 0), ''),
     coalesce((SELECT concat('**Functions:**', {NL}, string_agg(concat('- ', name, {NL}, '  Signature: ', signature, {NL},
       '  Lines of code: ', CAST(lines_of_code AS VARCHAR), {NL}, '  Cyclomatic complexity: ', CAST(cyclomatic_complexity AS VARCHAR), {NL},
       '  Parameters: ', CAST(parameters AS VARCHAR), {NL}, '  Returns: ', CAST(returns AS VARCHAR), {NL}, {NL}), '' ORDER BY ord))
-      FROM all_functions a WHERE a.path = c.path), ''),
-    coalesce((SELECT concat('**Types:**', {NL}, string_agg(concat('```rust', {NL}, type, {NL}, '```', {NL}, {NL}), '' ORDER BY ord)) FROM all_types a WHERE a.path = c.path), ''),
-    coalesce((SELECT concat('**Exports:**', {NL}, string_agg(concat('- ', export, {NL}), '' ORDER BY ord), {NL}) FROM all_exports a WHERE a.path = c.path), ''),
+      FROM all_functions a WHERE a.path = c.path HAVING count(*) > 0), ''),
+    coalesce((SELECT concat('**Types:**', {NL}, string_agg(concat('```rust', {NL}, type, {NL}, '```', {NL}, {NL}), '' ORDER BY ord)) FROM all_types a WHERE a.path = c.path HAVING count(*) > 0), ''),
+    coalesce((SELECT concat('**Exports:**', {NL}, string_agg(concat('- ', export, {NL}), '' ORDER BY ord), {NL}) FROM all_exports a WHERE a.path = c.path HAVING count(*) > 0), ''),
     {NL}) FROM code_files c)
 SELECT section_ord, path, CAST(unnest(generate_series(0, len(string_split(text, {NL})) - 1)) AS BIGINT) AS ord,
   unnest(string_split(text, {NL})) AS line FROM blocks"""
