@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _SPECIAL = set(".^$+(){}|[]\\*?")
 
 
@@ -72,4 +74,9 @@ def gitignore_rule(line: str) -> tuple[str, bool, bool] | None:
     if not line:
         return None
     above = "" if anchored else "(?:.*/)?"
-    return rf"(?s)\A{above}{glob_regex(line, False)}\z", negated, directories
+    pattern = f"{above}{glob_regex(line, False)}"
+    try:
+        re.compile(pattern)
+    except re.error:  # a malformed class or range: the line is no rule
+        return None
+    return rf"(?s)\A{pattern}\z", negated, directories

@@ -11,7 +11,7 @@ from .text import FLAGS, count_of, let, line_count, parameter_count, prefix_sum
 # and a branch.
 _NAMES = r"(?:\{[^}]*\}|\*\s+as\s+\w+|\w+)"
 IMPORT = (
-    rf"^(?:import\s+(?:{_NAMES}(?:\s*,\s*{_NAMES})*\s+from\s+)?['\"](.+?)['\"]"
+    rf"^(?:import\s+(?:{_NAMES}(?:\s*,\s*{_NAMES})*+\s+from\s+)?['\"](.+?)['\"]"
     r"|(?:const|let|var)\s+(?:\{[^}]*\}|\w+)\s*=\s*require\s*\(\s*['\"](.+?)['\"]\s*\))(?:;|\s*$)"
 )
 DECLARATION = (

@@ -91,5 +91,5 @@ def functions(content: Column, body_mode: str = "reference") -> Column:
 
 def _body(raw: Column) -> Column:
     """Drop blank lines around the body and join its lines with a plain newline."""
-    trimmed = F.regexp_replace(raw, rf"(?dU)\A{_BLANK_LINES}|(?:\r?\n[^\S\n]*+)++\z", "")
-    return F.replace(trimmed, F.lit("\r\n"), F.lit("\n"))
+    text = F.regexp_extract(raw, rf"(?sU)\A{_BLANK_LINES}(.*\S(?:(?!\r\n)[^\S\n])*+)", 1)
+    return F.replace(text, F.lit("\r\n"), F.lit("\n"))

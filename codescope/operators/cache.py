@@ -53,7 +53,7 @@ def incremental_analyze(
     for extra in _key(files, cache)[2:]:
         same &= F.col(f"c.{extra}") == F.col(f"f.{extra}")
     hit = F.coalesce(same, F.lit(False))
-    fresh = analysis(F.col("f.path"), F.col("f.content"), body_mode, languages)
+    fresh = analysis("f.path", "f.content", body_mode, languages)
     return f.join(c, F.col("f.path") == F.col("c.path"), "left").select(
         F.col("f.path"),
         F.col("f.last_modified"),

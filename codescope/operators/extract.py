@@ -9,7 +9,9 @@ own list.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +38,37 @@ def _part(lang: LanguageExtractor, part: str, source: Column, body_mode: str) ->
 
 
 def analysis(
-    path: Column, content: Column, body_mode: str = "reference", languages: Sequence[LanguageExtractor] = LANGUAGES
+    path: str = "path",
+    content: str = "content",
+    body_mode: str = "reference",
+    languages: Sequence[LanguageExtractor] = LANGUAGES,
+) -> Column:
+    """Struct of imports, functions, types and exports of the named columns; null for
+    other languages."""
+    return _expression(id(SparkContext._gateway), "analysis", path, content, body_mode, tuple(languages))
+
+
+@lru_cache(maxsize=256)
+def _expression(
+    gateway: int, what: str, path: str, content: str, body_mode: str, languages: tuple[LanguageExtractor, ...]
 ) -> Column:
-    """Struct of imports, functions, types and exports; null for other languages."""
+    """Expression for one list or for the whole analysis.
+
+    Kept, as it takes thousands of calls into the JVM to build and depends on nothing
+    but the arguments (``gateway`` stands for the JVM it lives in).
+    """
+    text = F.col(content)
+    if what != "analysis":
+        return _by_language(
+            F.col(path), languages, lambda lang: _part(lang, what, lang.prepare(text), body_mode), PARTS[what]
+        )
 
     def whole(lang: LanguageExtractor) -> Column:
         return let(
-            lang.prepare(content),
-            lambda src: F.struct(*[_part(lang, p, src, body_mode).alias(p) for p in PARTS]),
+            lang.prepare(text), lambda src: F.struct(*[_part(lang, p, src, body_mode).alias(p) for p in PARTS])
         ).cast(ANALYSIS)
 
-    return _by_language(path, languages, whole, ANALYSIS)
+    return _by_language(F.col(path), languages, whole, ANALYSIS)
 
 
 def assemble_analysis(
@@ -55,7 +77,7 @@ def assemble_analysis(
     """One row per file of a known language, also where nothing was found in it."""
     known = files.filter(language(F.col("path"), languages).isNotNull())
     kept = [c for c in files.columns if c != "content"]
-    return known.select(*kept, analysis(F.col("path"), F.col("content"), body_mode, languages).alias("analysis"))
+    return known.select(*kept, analysis(body_mode=body_mode, languages=languages).alias("analysis"))
 
 
 def part_table(
@@ -65,13 +87,12 @@ def part_table(
     body_mode: str = "reference",
 ) -> DataFrame:
     """path, language, ord (from 1) and the value of one list, from file contents."""
-    path, content = F.col("path"), F.col("content")
+    path = F.col("path")
+    values = _expression(id(SparkContext._gateway), part, "path", "content", body_mode, tuple(languages))
     lists = files.filter(language(path, languages).isNotNull()).select(
         "path",
         language(path, languages).alias("language"),
-        _by_language(
-            path, languages, lambda lang: _part(lang, part, lang.prepare(content), body_mode), PARTS[part]
-        ).alias("values"),
+        values.alias("values"),
     )
     return _explode(lists, part)
 

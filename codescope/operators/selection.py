@@ -42,7 +42,7 @@ def unsupported_files(files: DataFrame) -> DataFrame:
 def distinct_files(files: DataFrame) -> DataFrame:
     """One row per path, the newest where a path was listed more than once.
 
-    Decided on the key columns alone; the other columns are not compared.
+    All columns travel, so pass paths and times only where contents are not needed yet.
     """
     return files.dropDuplicates(["path"]) if "last_modified" not in files.columns else _newest(files)
 

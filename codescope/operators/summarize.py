@@ -52,7 +52,8 @@ def summarize(
 ) -> tuple[DataFrame, DataFrame]:
     """(functions with ``summary``, log of calls).
 
-    Only functions that pass their language's gate are asked about, and each distinct
+    ``functions`` is read twice, so pass stored rows rather than an extraction where
+    they are at hand. Only functions that pass their language's gate are asked about, and each distinct
     prompt once. The answers are written to the shared scratch folder before use:
     both results read them, and neither a second read nor a lost executor may ask a
     finished batch again.

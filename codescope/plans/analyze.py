@@ -13,10 +13,10 @@ from ..operators import cache as C
 from ..operators import report as R
 from ..operators.directories import CODE_IDENTIFIERS, code_directories, in_code_directory
 from ..operators.errors import check_files
-from ..operators.extract import explode_analysis
+from ..operators.extract import assemble_analysis, explode_analysis
 from ..operators.gitignore import RULE_FILES, apply_gitignore, ignore_rules
 from ..operators.languages import LANGUAGES, LanguageExtractor
-from ..operators.selection import code_files, distinct_files, documentation_files, drop_ignored, ignore_patterns
+from ..operators.selection import code_files, distinct_files, documentation_files, drop_ignored
 from ..operators.summarize import Summarizer, summarize
 from ..schema import CACHE
 from ..scratch import write_through
@@ -84,32 +84,34 @@ def analyze_tree(
 ) -> Run | None:
     """Analyse a source tree; None if it has no code files.
 
-    Unchanged files are found on listed paths and times, so only changed files are
-    ever read.
+    The tree is listed once. Unchanged files are found on listed paths and times, so
+    only changed files are ever read. What later steps read more than once (listing,
+    chosen paths, fresh analyses) is written first.
     """
     root = root.rstrip("/") or "/"
-    everything = list_source_tree(spark, root)
-    code_part = list_source_tree(spark, root, ignore_patterns(custom_ignore))
-    rule_files = everything.filter(F.col("name").isin(*RULE_FILES))
-    rules = _as_text(read_contents(rule_files))
-    chosen = distinct_files(collect_code_files(code_part, rules, custom_ignore, root=root))
+    listing = write_through(spark, list_source_tree(spark, root), "listing")
+    rules = _as_text(read_contents(listing.filter(F.col("name").isin(*RULE_FILES))))
+    chosen = write_through(
+        spark, distinct_files(collect_code_files(listing, rules, custom_ignore, root=root)), "chosen"
+    )
     if chosen.select("path").isEmpty():
         return None
-    manifests = _as_text(read_contents(everything.filter(F.col("rel_path").isin("package.json", "Cargo.toml"))))
+    manifests = _as_text(read_contents(listing.filter(F.col("rel_path").isin("package.json", "Cargo.toml"))))
 
     cache = C.read_analysis_cache(spark, cache_path) if cache_path else spark.createDataFrame([], CACHE)
     hits = C.cache_hits(chosen, cache).select("path", "last_modified", "analysis")
     changed = check_files(read_contents(C.cache_misses(chosen, cache)), on_error)
-    fresh = C.incremental_analyze(changed, cache.limit(0), body_mode, languages).drop("cached")
+    fresh = assemble_analysis(changed, body_mode, languages).select("path", "last_modified", "analysis")
+    fresh = write_through(spark, fresh, "fresh")
     log = None
     if summarizer is not None:
         fresh, log = with_summaries(fresh, summarizer, model, languages)
     analyses = fresh.unionByName(hits)
     if cache_path:
-        C.write_analysis_cache(C.next_cache(analyses, cache), cache_path)
+        C.write_analysis_cache(C.next_cache(analyses, cache, languages=languages), cache_path)
         stored = C.read_analysis_cache(spark, cache_path)
         analyses = stored.join(chosen.select("path"), "path", "left_semi")
-    return Run(analyses, documentation_files(everything), packages(manifests, root), log)
+    return Run(analyses, documentation_files(listing), packages(manifests, root), log)
 
 
 def _as_text(files: DataFrame) -> DataFrame:

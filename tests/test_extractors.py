@@ -141,3 +141,7 @@ def test_large_and_hostile_files(spark):
     long_js = "const f = () => {\n" + "  a();\n" * 100_000 + "}\nb\n"
     assert one(spark, long_js, js.functions(F.col("content")))[0]["lines_of_code"] == 100_002
     assert one(spark, blank, js.imports(F.col("content"))) == []
+    names = "import a" + ", a" * 50_000 + " from 'm'\n"
+    assert one(spark, names, js.imports(F.col("content"))) == ["m"]
+    gaps = "def f():\n    x\n" + "\n" * 100_000 + "    y\n"
+    assert one(spark, gaps, py.functions(F.col("content"), "block"))[0]["lines_of_code"] == 100_002

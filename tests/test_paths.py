@@ -80,6 +80,7 @@ def test_globs():
     assert hit("**/x", "x") and hit("**/x", "a/b/x") and hit("a/**", "a/b/c") and hit("a/**/b", "a/b")
     assert hit(r"\*a", "*a") and hit("a?c", "abc")
     assert gitignore_rule("# x") is None and gitignore_rule("  ") is None
+    assert gitignore_rule("[z-a].py") is None
     assert gitignore_rule("!keep/")[1:] == (True, True)
     assert re.match(gitignore_rule("/a.py")[0].replace(r"\z", r"\Z"), "b/a.py") is None
 

@@ -8,7 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE_TABLES = ("documents", "events", "conversations", "pages", "labels")
+from codescope.sources.tables import spread_small
+
+# Table a fixture is derived from, where that is not ``documents``.
+SOURCE = {"inference_log": "events", "model_responses": "conversations"}
+# Tables whose rows carry whole texts to work on, with their key.
+KEYS = {"documents": "doc_id", "pages": "page_id"}
 
 # Each file ends with the whole text of its document as a block of comment lines.
 FIXTURES = {
@@ -68,7 +73,12 @@ def with_clause(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({FIXTURES[n]})" for n in needed) + "\n"
 
 
+def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(table, KEYS[name]) if name in KEYS else table
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for base in BASE_TABLES:
-        spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)
+    base = SOURCE.get(name, "documents")
+    base_table(spark, sf_dir, base).createOrReplaceTempView(base)
     return spark.sql(with_clause(name) + f"SELECT * FROM {name}")

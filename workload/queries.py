@@ -19,7 +19,7 @@ from codescope.scratch import scratch_folder
 from codescope.sources import manifests
 from codescope.streaming import snapshots
 
-from .fixtures import fixture
+from .fixtures import base_table, fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
 FUNCTION_COLUMNS = (
@@ -27,12 +27,8 @@ FUNCTION_COLUMNS = (
 )
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _per_document(name: str, column: Callable) -> Query:
-    return lambda spark, d: _table(spark, d, "documents").select("doc_id", column(F.col("text")).alias(name))
+    return lambda spark, d: base_table(spark, d, "documents").select("doc_id", column(F.col("text")).alias(name))
 
 
 def _tree(build: Callable[[DataFrame], DataFrame]) -> Query:
@@ -49,7 +45,7 @@ def _part(lang, part: str, *columns: str) -> Query:
 
 def _page_braces(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
-    return _table(spark, sf_dir, "pages").select(
+    return base_table(spark, sf_dir, "pages").select(
         "page_id",
         text.count_of(html, "{").cast("bigint").alias("opened"),
         text.count_of(html, "}").cast("bigint").alias("closed"),
@@ -150,7 +146,9 @@ def _summarize(files: DataFrame) -> DataFrame:
 def _render_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = fixture(spark, sf_dir, "tree_files")
     return report.render_report(
-        selection.documentation_files(tree), manifests.packages(tree, all_levels=True), extract.assemble_analysis(tree)
+        selection.documentation_files(tree),
+        manifests.packages(tree, all_levels=True),
+        extract.assemble_analysis(fixture(spark, sf_dir, "code_files")),
     )
 
 
