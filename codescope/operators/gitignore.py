@@ -46,56 +46,64 @@ def ignore_rules(files: DataFrame) -> DataFrame:
     )
 
 
-def _decision(below: Column, is_dir: Column) -> Column:
-    """``negated`` of the last rule of a file that matches, null if none does."""
+def _ignored(entry: Column, is_dir: bool) -> Column:
+    """Whether the rule files in ``chain``, first come first heard, say to skip an entry.
 
-    def last(rules: Column) -> Column:
-        return F.get(rules, F.size(rules) - 1)["negated"]
+    The first file with a matching rule decides, and in it the last such rule.
+    """
+
+    def negated(r: Column) -> Column:
+        below = F.substr(entry, r["start"])
+        matching = F.filter(r["rules"], lambda x: (F.lit(is_dir) | ~x["directories"]) & F.rlike(below, x["regex"]))
+        # One alternation of all rules settles most paths; it is compiled once for a
+        # run of paths of one directory.
+        return F.when(F.rlike(below, r["any"]), let(matching, lambda m: F.get(m, F.size(m) - 1)["negated"]))
+
+    decided = F.filter(F.transform("chain", negated), lambda n: n.isNotNull())
+    return F.coalesce(~F.get(decided, F.lit(0)), F.lit(False))
 
-    matching = F.filter(
-        F.col("rules"), lambda r: (is_dir | ~r["directories"]) & F.rlike(below, r["regex"])
-    )
-    # One alternation of all rules first: compiled once for a run of paths of one
-    # rule file, and it settles most paths.
-    return F.when(F.rlike(below, F.col("any")), let(matching, last))
-
-
-def _ignored(entries: DataFrame, rules: DataFrame, is_dir: bool) -> DataFrame:
-    """Entries that the rules above them say to skip; deeper rule files win."""
-    chain = entries.select("entry", F.explode(ancestors_of(directory_of(F.col("entry")))).alias("dir"))
-    start = F.when(F.col("dir") == "", 1).otherwise(F.length("dir") + 2)
-    decided = (
-        chain.join(rules, "dir")
-        .withColumn("negated", _decision(F.substr("entry", start), F.lit(is_dir)))
-        .filter("negated IS NOT NULL")
-    )
-    winner = F.max_by("negated", F.struct(F.col("rank"), depth_of(F.col("dir"))))
-    return decided.groupBy("entry").agg(winner.alias("negated")).filter(~F.col("negated")).select("entry")
+
+def _rule_chains(dirs: DataFrame, rules: DataFrame) -> DataFrame:
+    """dir, chain: the rule files at or above each directory, most telling first.
+
+    A chain is as long as there are rule files on the way up, at most two per level.
+    """
+    above = dirs.select("dir", F.explode(ancestors_of(F.col("dir"))).alias("at"))
+    found = above.join(rules.withColumnRenamed("dir", "at"), "at")
+    start = F.when(F.col("at") == "", 1).otherwise(F.length("at") + 2)
+    link = F.struct("rank", depth_of(F.col("at")).alias("depth"), start.alias("start"), "any", "rules")
+    return found.groupBy("dir").agg(F.sort_array(F.collect_list(link), asc=False).alias("chain"))
 
 
 def apply_gitignore(files: DataFrame, rules: DataFrame, code_dirs: DataFrame | None = None) -> DataFrame:
     """Drop files that are ignored, or that lie below an ignored directory.
 
     With ``code_dirs`` the walk starts at each of those: a file stays if some code
-    directory above it is at or below every ignored directory on its path. Only paths
-    are joined. The distinct directories and the parsed rules, a small part of the
-    path column, are read several times and so written once.
+    directory above it is at or below every ignored directory on its path.
+
+    All that can be settled per directory is, so files are joined once, on their
+    directory; a rule file at the top does not make one key of the whole corpus. The
+    distinct directories and their chains are read several times and so written once.
     """
     spark = files.sparkSession
-    rules = write_through(spark, rules, "ignore-rules")
-    dirs = write_through(spark, files.select(directory_of(F.col("path")).alias("dir")).distinct(), "directories")
-    chain = dirs.select("dir", F.explode(ancestors_of(F.col("dir"))).alias("above"))
-    entries = chain.filter("above <> ''").select(F.col("above").alias("entry")).distinct()
-    marks = _ignored(entries, rules, True).select(F.col("entry").alias("above"), F.lit(True).alias("skip"))
+    own = files.select(directory_of(F.col("path")).alias("dir")).distinct()
+    dirs = write_through(spark, own.select(F.explode(ancestors_of(F.col("dir"))).alias("dir")).distinct(), "directories")
+    chains = write_through(spark, _rule_chains(dirs, rules), "rule-chains")
+
+    parents = dirs.filter("dir <> ''").select(F.col("dir").alias("above"), directory_of(F.col("dir")).alias("dir"))
+    ignored = parents.join(chains, "dir").filter(_ignored(F.col("above"), True))
+    marks = ignored.select("above", F.lit(True).alias("skip"))
     if code_dirs is not None:
         marks = marks.unionByName(code_dirs.select(F.col("dir").alias("above"), F.lit(False).alias("skip")))
     depth = depth_of(F.col("above"))
     skipped = (
-        chain.join(marks, "above")
+        dirs.select("dir", F.explode(ancestors_of(F.col("dir"))).alias("above"))
+        .join(marks, "above")
         .groupBy("dir")
         .agg(F.max(F.when(F.col("skip"), depth)).alias("cut"), F.max(F.when(~F.col("skip"), depth)).alias("start"))
-        .filter("cut > coalesce(start, -1)")
+        .select("dir", (F.col("cut") > F.coalesce("start", F.lit(-1))).alias("skip"))
     )
-    files_out = _ignored(files.select(F.col("path").alias("entry")), rules, False)
-    kept = files.join(skipped, directory_of(files["path"]) == skipped["dir"], "left_anti")
-    return kept.join(files_out, kept["path"] == files_out["entry"], "left_anti")
+    state = dirs.join(skipped, "dir", "left").join(chains, "dir", "left").withColumnRenamed("dir", "_dir")
+    joined = files.join(state, directory_of(files["path"]) == F.col("_dir"), "left")
+    kept = joined.filter(~F.coalesce("skip", F.lit(False)) & ~_ignored(F.col("path"), False))
+    return kept.select(*[files[c] for c in files.columns])

@@ -49,10 +49,10 @@ def collect_code_files(
 def collect_from_table(files: DataFrame, **options) -> DataFrame:
     """``collect_code_files`` for a table with contents.
 
-    Paths are chosen on the key columns; contents are read once and join the chosen
-    paths, without a shuffle where the table is bucketed by path.
+    Paths are chosen on the key columns, listed once; contents are read once and join
+    the chosen paths, without a shuffle where the table is bucketed by path.
     """
-    keys = files.select("path", "last_modified")
+    keys = write_through(files.sparkSession, files.select("path", "last_modified"), "listing")
     rules = files.filter(name_of(F.col("path")).isin(*RULE_FILES))
     chosen = collect_code_files(keys, rules, **options).select("path")
     return code_files(files).join(chosen, "path", "left_semi")
