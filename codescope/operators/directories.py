@@ -34,7 +34,8 @@ def code_directories(
     path = F.col("path")
     parts = F.split(path, "/", -1)
     hits = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: F.get(parts, i - 1).isin(*identifiers))
-    named = files.filter(F.exists(parts, lambda p: p.isin(*identifiers)))
+    names = "|".join(rf"\Q{name}\E" for name in identifiers)
+    named = files.filter(path.rlike(rf"(?s)(?:\A|/)(?:{names})(?:/|\z)"))
     at = named.select("path", F.explode(hits).alias("i"))
     dirs = at.select(F.array_join(F.slice(parts, F.lit(1), F.col("i") - 1), "/").alias("dir")).distinct()
     if root:
