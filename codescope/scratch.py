@@ -14,11 +14,14 @@ _local: list[str] = []
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's checkpoint folder.
 
-    Only where the session names none, as in tests on one machine, a temporary
-    folder takes its place.
+    Only where the session names none and runs on one machine, as in tests, a temporary
+    folder takes its place: executors elsewhere could not reach it. Folders are left for
+    the cluster's own cleaning of its checkpoint folder.
     """
     base = spark.conf.get(SETTING, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that every executor can reach")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="codescope-"))
         base = _local[0]
