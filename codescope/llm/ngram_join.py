@@ -32,7 +32,7 @@ def need(n: np.ndarray | int, percent: int):
 
 def spare(n: int, percent: int) -> int:
     """Occurrences asked for on the short lists (T - L of DivideSkip)."""
-    return 1 + (n - need(n, percent)) // 3
+    return 1 + (n - need(n, percent)) // 2
 
 
 def links(shingles: int, other: int, shared: int, percent: int) -> bool:
@@ -163,8 +163,10 @@ def _read_lists(percent: int):
     """Rows sorted by list: pairs of the short lists, members of the long ones."""
     names = ["list", "n", "s1", "s2", "m", "t1", "t2"]
 
-    def close(key, members: dict, out: list) -> None:
+    def close(members: dict, out: list) -> None:
         members = list(members)
+        if len(members) > 1:
+            out += [(None, n, a, b, None, None, None) for n, a, b in members]
         for i, (n, a, b) in enumerate(members):
             for m, c, d in members[:i]:
                 if 100 * min(n, m) >= percent * max(n, m):
@@ -181,7 +183,7 @@ def _read_lists(percent: int):
             for key, deal, n, a, b in zip(*(batch[c].to_pylist() for c in ("list", "deal", "n", "s1", "s2"))):
                 if (key, deal) != last:
                     if not long:
-                        close(last, members, out)
+                        close(members, out)
                     last, members, long = (key, deal), {}, deal >= 0
                 if long:
                     out.append((key, n, a, b, None, None, None))
@@ -194,7 +196,7 @@ def _read_lists(percent: int):
                 yield pack(out)
         out = []
         if not long:
-            close(last, members, out)
+            close(members, out)
         if out:
             yield pack(out)
 
@@ -281,16 +283,20 @@ def ngram_join(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     postings = postings.repartition("list", "deal").sortWithinPartitions("list", "deal")
     found = write_through(spark, postings.mapInArrow(_read_lists(percent), "list long, n long, s1 long, s2 long, m long, t1 long, t2 long"), "lists")
 
-    asked = lambda n: f"1 + ({n} - CAST(ceil({percent} * {n} / 100) AS bigint)) DIV 3"
-    pairs = found.where("list IS NULL").groupBy("s1", "s2", "t1", "t2", "n", "m").agg(F.count("*").alias("times"))
+    asked = lambda n: f"(1 + ({n} - {need_sql(n)}) DIV 2)"
+    need_sql = lambda n: f"CAST(ceil({percent} * {n} / 100) AS bigint)"
+    # A set with a partner of at least percent/100 of its size is on so many lists with others.
+    busy = found.where("m IS NULL").groupBy("s1", "s2", "n").agg(F.count("*").alias("shared")).where(f"shared >= {asked(need_sql('n'))}").select("s1", "s2")
+    busy = write_through(spark, busy, "busy")
+    pairs = found.where("m IS NOT NULL").groupBy("s1", "s2", "t1", "t2", "n", "m").agg(F.count("*").alias("times"))
     pairs = pairs.where(f"times >= least({asked('n')}, {asked('m')})")
     zero = F.lit(0)
     stars = pairs.select(F.col("s1").alias("g1"), F.col("s2").alias("g2"), F.lit(-1).alias("lo"), zero.alias("hi"), F.array(
         F.struct("s1", "s2", F.lit(2).alias("role")), F.struct(F.col("t1").alias("s1"), F.col("t2").alias("s2"), F.lit(1).alias("role"))).alias("two"))
     stars = stars.select("g1", "g2", "lo", "hi", F.inline("two")).distinct()
 
-    members = found.where("list IS NOT NULL").select("list", "n", "s1", "s2").distinct()
-    lists = members.groupBy("list").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.sum(F.xxhash64("s1", "s2").cast("decimal(20,0)")).alias("who"))
+    members = found.where("list IS NOT NULL").join(busy, ["s1", "s2"], "left_semi").select("list", "n", "s1", "s2").distinct()
+    lists = members.groupBy("list").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.sum(F.xxhash64("s1", "s2").cast("decimal(20,0)")).alias("who")).where("size > 1")
     lists = lists.groupBy("size", "weight", "who").agg(F.min("list").alias("list"))  # lists of the same members are searched once
     lists = lists.select("list", F.greatest(F.lit(1), F.ceil(F.col("weight") / BLOCK)).cast("int").alias("blocks"))
     tiles = salted_join(members, lists, "list").withColumn("block", F.pmod(F.xxhash64("s2", "s1"), F.col("blocks")).cast("int"))
