@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codescope.scratch import scratch_folder, write_through
 
-__all__ = ["fold_chunks", "salted_join", "scratch_folder", "split_chunks", "write_through"]
+__all__ = ["batches_of", "fold_chunks", "salted_join", "scratch_folder", "split_chunks", "write_through"]
 
 # Functions run on executors travel with their code: workers need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
@@ -60,3 +61,15 @@ def fold_chunks(spark: SparkSession, rows: DataFrame, chunks: int, dtype: str, s
         at = row["chunk"] * step
         total[at : at + step] = op(total[at : at + step], np.frombuffer(row["part"], dtype))
     return total
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, actions hand wide rows to workers in Arrow batches of at most ``rows``."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

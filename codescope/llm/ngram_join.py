@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescope.llm.common import fold_chunks, salted_join, split_chunks, write_through
+from codescope.llm.common import batches_of, fold_chunks, salted_join, split_chunks, write_through
 from codescope.llm.components import components
 from codescope.llm.shingles import mix, shingle_sets, signature
 
@@ -236,7 +236,7 @@ def _search(percent: int):
             if m[0] not in seen:
                 seen.add(m[0])
                 kept.append(m)
-        sets = [np.frombuffer(m[2], np.uint64) for m in kept]
+        sets = [m[2] for m in kept]
         for x, y in t_occurrence(sets, [m[1] for m in kept], percent):
             yield (*kept[x][0], *kept[y][0])
 
@@ -248,11 +248,11 @@ def _search(percent: int):
         for batch in batches:
             out: list[tuple] = []
             groups = zip(*(batch[c].to_pylist() for c in ("g1", "g2", "lo", "hi")))
-            for group, a, b, role, shingles in zip(groups, *(batch[c].to_pylist() for c in ("s1", "s2", "role", "shingles"))):
+            for group, a, b, role, shingles in zip(groups, *(batch[c].to_pylist() for c in ("s1", "s2", "role")), batch["shingles"]):
                 if group != last:
                     out += links_of(members)
                     last, members = group, []
-                members.append(((a, b), role, shingles))
+                members.append(((a, b), role, np.frombuffer(shingles.as_buffer(), np.uint64)))
             if out:
                 yield pack(out)
         if out := list(links_of(members)):
@@ -275,13 +275,15 @@ def ngram_join(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     """
     sc = spark.sparkContext
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = write_through(spark, source.mapInArrow(_scan(words), "doc_id long, n long, s1 long, s2 long, chunk int, part binary"), "sets")
+    with batches_of(spark, 2000):
+        scanned = write_through(spark, source.mapInArrow(_scan(words), "doc_id long, n long, s1 long, s2 long, chunk int, part binary"), "sets")
     lengths = fold_chunks(spark, scanned.where("chunk IS NOT NULL"), CHUNKS, "int32", LENGTHS, np.add)
     rows = scanned.where("chunk IS NULL").select("doc_id", "n", "s1", "s2")
 
     postings = source.where("doc_id IS NOT NULL").select("text").mapInArrow(_short_lists(words, percent, sc.broadcast(lengths)), "list long, deal int, n long, s1 long, s2 long")
     postings = postings.repartition("list", "deal").sortWithinPartitions("list", "deal")
-    found = write_through(spark, postings.mapInArrow(_read_lists(percent), "list long, n long, s1 long, s2 long, m long, t1 long, t2 long"), "lists")
+    with batches_of(spark, 2000):
+        found = write_through(spark, postings.mapInArrow(_read_lists(percent), "list long, n long, s1 long, s2 long, m long, t1 long, t2 long"), "lists")
 
     asked = lambda n: f"(1 + ({n} - {need_sql(n)}) DIV 2)"
     need_sql = lambda n: f"CAST(ceil({percent} * {n} / 100) AS bigint)"
@@ -309,7 +311,8 @@ def ngram_join(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     sets = source.where("doc_id IS NOT NULL").select("text").mapInArrow(_sets(words, sc.broadcast(wanted)), "s1 long, s2 long, shingles binary")
     sets = sets.groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"))
     ready = groups.join(sets, ["s1", "s2"]).repartition("g1", "g2", "lo", "hi").sortWithinPartitions("g1", "g2", "lo", "hi")
-    edges = write_through(spark, ready.mapInArrow(_search(percent), "s1 long, s2 long, t1 long, t2 long"), "links")
+    with batches_of(spark, 500):
+        edges = write_through(spark, ready.mapInArrow(_search(percent), "s1 long, s2 long, t1 long, t2 long"), "links")
 
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"))
     ends = edges.join(classes, ["s1", "s2"]).select(F.col("class").alias("a"), F.col("t1").alias("s1"), F.col("t2").alias("s2"))
