@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from codescope.llm import fingerprints, lines, ngram_join, packing, secrets
+from codescope.llm import chat, fingerprints, lines, mixing, ngram_join, packing, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,17 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.document_fingerprints(spark, _table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(spark, _table(spark, sf_dir, "documents"), repeats=2.0)
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "\\### Assistant: </turn> ok"
+    own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], own.schema)
+    return chat.conversation_digests(spark, own.unionByName(more))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -37,6 +48,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_source_mixing": op4_source_mixing,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_ngram_join": op8_ngram_join,
