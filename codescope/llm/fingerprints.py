@@ -16,23 +16,25 @@ STRETCH = 1024
 _GAP = r"[\x20\x09-\x0D]+"
 
 
-def _uniform(bits: str, shift: int) -> str:
-    """20 bits of a hash as a number between 0 and 1, neither included."""
-    return f"((shiftrightunsigned({bits}, {shift}) & 1048575) + 0.5D) * {2.0**-20!r}D"
+def _uniform(bits: str, shift: int, width: int) -> str:
+    """``width`` bits of a hash as a number between 0 and 1, neither included."""
+    return f"(((shiftrightunsigned({bits}, {shift}) & {2**width - 1}) + 0.5D) * {2.0**-width!r}D)"
 
 
 def _sample(k: int, term: str, log_weight: str) -> Column:
     """What the ``k``-th sample compares: the term with the least value is drawn.
 
-    Hashes of term and sample give r and c of Gamma(2, 1), as -ln(u u'), and a uniform b. With t = floor(ln w / r + b)
+    A hash of term and sample gives r and c of Gamma(2, 1), as -ln(u u'), and a uniform b. With t = floor(ln w / r + b)
     the value is ln c - r (t - b + 1), the logarithm of c / (y e^r) where y = e^(r (t - b)). It
-    stands for (term, t): equal values are equal draws but for rare coincidences of 60 bits.
+    stands for (term, t): equal values are equal draws but for rare coincidences. At weight 1, the
+    most frequent, t is 0 without a division.
     """
-    one, two = f"xxhash64({term}, {2 * k})", f"xxhash64({term}, {2 * k + 1})"
-    r = f"(-ln({_uniform(one, 0)} * {_uniform(one, 20)}))"
-    log_c = f"ln(-ln({_uniform(two, 0)} * {_uniform(two, 20)}))"
-    b = f"({_uniform(two, 40)})"
-    return F.expr(f"{log_c} - {r} * (floor({log_weight} / {r} + {b}) - {b} + 1D)")
+    h = f"xxhash64({term} ^ {k * 0x9E3779B97F4A7C15 % (1 << 63)}L)"
+    minus_r = f"ln({_uniform(h, 0, 12)} * {_uniform(h, 12, 12)})"
+    log_c = f"ln(-ln({_uniform(h, 24, 16)} * {_uniform(h, 40, 16)}))"
+    b = _uniform(h, 56, 8)
+    t = f"CASE WHEN {log_weight} > 0D THEN floor({b} - {log_weight} / {minus_r}) ELSE 0L END"
+    return F.expr(f"{log_c} + {minus_r} * (1D - {b} + {t})")
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
