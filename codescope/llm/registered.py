@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from codescope.llm import chat, fingerprints, lines, mixing, ngram_join, packing, secrets, topk
+from codescope.llm import chat, fingerprints, language, lines, mixing, ngram_join, packing, secrets, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(spark, _table(spark, sf_dir, "documents"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
     return topk.top_k(spark, vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -52,6 +56,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_source_mixing": op4_source_mixing,
