@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from codescope.llm import chat, fingerprints, language, lines, mixing, ngram_join, packing, secrets, topk
+from codescope.llm import chat, fingerprints, language, lines, mixing, ngram_join, packing, secrets, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_recurring_lines(spark, _table(spark, sf_dir, "documents"))
 
 
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read_back(spark, _table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_exact_top_k": op2_exact_top_k,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_ngram_join": op8_ngram_join,
     "op9_line_dedup": op9_line_dedup,
+    "op10_warc_index": op10_warc_index,
 }
 
 ORACLES: dict[str, str] = {}
