@@ -13,10 +13,11 @@ from codescope.llm.common import batches_of, fold_chunks, salted_join, split_chu
 from codescope.llm.components import components
 from codescope.llm.shingles import mix, shingle_sets, signature
 
-#: Entries of the table of list lengths and of the filter of wanted sets: fixed, whatever the corpus.
-LENGTHS = 1 << 20
+#: Entries of each row of the sketch of list lengths, its rows, and the filter of wanted sets: fixed, whatever the corpus.
+WIDTH = 1 << 20
+ROWS = 3
 WANTED = 1 << 22
-CHUNKS = 64
+CHUNKS = 96
 #: Lists up to this length give pairs; longer ones go through tiles. Both ways are exact.
 SHORT_LIST = 8
 #: Lists estimated at this length or more are dealt by list and document.
@@ -39,6 +40,20 @@ def links(shingles: int, other: int, shared: int, percent: int) -> bool:
     return 100 * shared >= percent * (shingles + other - shared)
 
 
+def _sketched(shingles: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and signs of shingles in each row of the sketch.
+
+    With signs the many lists of one entry cancel out instead of adding up: the error of an estimate is the root
+    of what else is in its place.
+    """
+    return [((r << 20) + ((shingles >> np.uint64(44 - 20 * r)).astype(np.int64) & (WIDTH - 1)), ((shingles >> np.uint64(r)) & np.uint64(1)).astype(np.int32) * 2 - 1) for r in range(ROWS)]
+
+
+def estimated_lengths(sketch: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Estimated list lengths, at least 1: the median over the rows."""
+    return np.maximum(np.median([sketch[at] * sign for at, sign in _sketched(shingles)], axis=0), 1).astype(np.uint64)
+
+
 def _gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Places of all entries of the lists at ``starts`` with ``counts`` entries."""
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
@@ -114,7 +129,7 @@ def _scan(words: int):
     """Per document its set's size and signature; per task the list lengths it adds."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, seen = np.zeros(LENGTHS, np.int32), set()
+        lengths, seen = np.zeros(ROWS * WIDTH, np.int32), set()
         for batch in batches:
             n, one, two = [], [], []
             for s in shingle_sets(batch["text"], words):
@@ -122,7 +137,8 @@ def _scan(words: int):
                 n.append(len(s)), one.append(a), two.append(b)
                 if len(s) and (a, b) not in seen:
                     seen.add((a, b))
-                    np.add.at(lengths, (s >> np.uint64(44)).astype(np.int64), 1)
+                    for at, sign in _sketched(s):
+                        np.add.at(lengths, at, sign)
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "n", "s1", "s2", "chunk", "part"])
         for k, part in split_chunks(lengths, CHUNKS):
@@ -144,7 +160,7 @@ def _short_lists(words: int, percent: int, lengths):
                     continue
                 seen.add(sig)
                 n = len(s)
-                length = known[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64)
+                length = estimated_lengths(known, s)
                 first = np.argsort((length << np.uint64(32)) | (s >> np.uint64(32)), kind="stable")[: n - int(need(n, percent)) + spare(n, percent)]
                 hot = length[first] >= HOT_LIST
                 own = np.int64(mix(np.array([sig[0]], np.int64).view(np.uint64))[0] % np.uint64(64))
@@ -223,7 +239,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     marks = np.zeros(WANTED, np.uint8)
     for batch in batches:
         marks[(batch["s1"].to_numpy().view(np.uint64) >> np.uint64(42)).astype(np.int64)] = 1
-    for k, part in split_chunks(marks, CHUNKS):
+    for k, part in split_chunks(marks, 64):
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "part": pa.array([part], pa.binary())})
 
 
@@ -265,7 +281,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     """(doc_id, n_shingles, component_id): documents linked by shingle sets of Jaccard ``percent``/100 or more.
 
     Equal sets are one class from the start. Each set posts its short lists, the rarest shingles by a
-    table of list lengths over the whole corpus, at least ``T - L`` of which a partner shares. A pair from
+    sketch of list lengths over the whole corpus, at least ``T - L`` of which a partner shares. A pair from
     lists of up to SHORT_LIST members is searched if it shares that many of them; members of longer lists meet in
     tiles of bounded size, each searched with DivideSkip. Links found connect; the links left
     out join documents that others connect already. No list, bucket or partner count is capped.
@@ -277,7 +293,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with batches_of(spark, 2000):
         scanned = write_through(spark, source.mapInArrow(_scan(words), "doc_id long, n long, s1 long, s2 long, chunk int, part binary"), "sets")
-    lengths = fold_chunks(spark, scanned.where("chunk IS NOT NULL"), CHUNKS, "int32", LENGTHS, np.add)
+    lengths = fold_chunks(spark, scanned.where("chunk IS NOT NULL"), CHUNKS, "int32", ROWS * WIDTH, np.add)
     rows = scanned.where("chunk IS NULL").select("doc_id", "n", "s1", "s2")
 
     postings = source.where("doc_id IS NOT NULL").select("text").mapInArrow(_short_lists(words, percent, sc.broadcast(lengths)), "list long, deal int, n long, s1 long, s2 long")
@@ -307,7 +323,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
                          F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("role"))
     groups = write_through(spark, stars.unionByName(tiles), "groups")
 
-    wanted = fold_chunks(spark, groups.select("s1").mapInArrow(_mark, "chunk int, part binary"), CHUNKS, "uint8", WANTED, np.bitwise_or)
+    wanted = fold_chunks(spark, groups.select("s1").mapInArrow(_mark, "chunk int, part binary"), 64, "uint8", WANTED, np.bitwise_or)
     sets = source.where("doc_id IS NOT NULL").select("text").mapInArrow(_sets(words, sc.broadcast(wanted)), "s1 long, s2 long, shingles binary")
     sets = sets.groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"))
     ready = groups.join(sets, ["s1", "s2"]).repartition("g1", "g2", "lo", "hi").sortWithinPartitions("g1", "g2", "lo", "hi")
