@@ -70,7 +70,7 @@ def next_cache(
 ) -> DataFrame:
     """Cache after a run: one row per path, entries of vanished files kept by default."""
     known = results.filter(language(F.col("path"), languages).isNotNull())
-    fresh = known.select("path", "last_modified", "analysis")
+    fresh = known.select([c for c in ("path", "last_modified", "fingerprint", "analysis") if c in known.columns and c in cache.columns])
     return fresh if evict else fresh.unionByName(stale_cache(results, cache).select(*fresh.columns))
 
 

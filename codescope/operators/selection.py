@@ -27,16 +27,18 @@ def language(path: Column, languages: Sequence[LanguageExtractor] = LANGUAGES) -
     return out
 
 
-def code_files(files: DataFrame) -> DataFrame:
-    return files.filter(extension_of(F.col("path")).isin(*CODE_EXTENSIONS))
+def code_files(files: DataFrame, languages: Sequence[LanguageExtractor] = LANGUAGES) -> DataFrame:
+    """Files of the default languages' extensions, or of those of ``languages``."""
+    own = CODE_EXTENSIONS if languages == LANGUAGES else [s.removeprefix(".") for lang in languages for s in lang.suffixes]
+    return files.filter(extension_of(F.col("path")).isin(*own))
 
 
 def documentation_files(files: DataFrame) -> DataFrame:
     return files.filter(name_of(F.col("path")).rlike(DOCUMENTATION)).select("path")
 
 
-def unsupported_files(files: DataFrame) -> DataFrame:
-    return files.filter(language(F.col("path")).isNull())
+def unsupported_files(files: DataFrame, languages: Sequence[LanguageExtractor] = LANGUAGES) -> DataFrame:
+    return files.filter(language(F.col("path"), languages).isNull())
 
 
 def distinct_files(files: DataFrame) -> DataFrame:
@@ -72,12 +74,17 @@ def ignore_patterns(custom: Sequence[str] = ()) -> tuple[str, ...]:
 
 def is_ignored(path: Column, patterns: Sequence[str], root: str = "") -> Column:
     """A glob matches a path component, or the full path of the entry or of a directory
-    between ``root`` and it. Two literal regexes, compiled once per task."""
+    between ``root`` and it. Literal regexes, compiled once per task; with a root, the full
+    globs are tried on each prefix from it on, if they match any prefix at all."""
     if not patterns:
         return F.lit(False)
     full = "|".join(glob_regex(p, True) for p in patterns)
-    reach = rf"(?<=\A.{{{len(root)},4096}})" if root else ""
-    ignored = path.rlike(rf"(?s)\A(?:{full}){reach}(?:/|\z)")
+    ignored = path.rlike(rf"(?s)\A(?:{full})(?:/|\z)")
+    if root:
+        names = F.split(path, "/", -1)
+        prefixes = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, F.lit(1), k), "/"))
+        below = F.exists(prefixes, lambda p: (F.length(p) >= len(root)) & p.rlike(rf"(?s)\A(?:{full})\z"))
+        ignored = F.when(ignored, below).otherwise(F.lit(False))
     parts = "|".join(glob_regex(p, False) for p in patterns if "/" not in p)
     if parts:
         ignored = path.rlike(rf"(?s)(?:\A|/)(?:{parts})(?:/|\z)") | ignored

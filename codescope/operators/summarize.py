@@ -49,6 +49,7 @@ def summarize(
     model: str = "",
     batch_size: int = 32,
     languages: Sequence[LanguageExtractor] = LANGUAGES,
+    partitions: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(functions with ``summary``, log of calls).
 
@@ -56,7 +57,8 @@ def summarize(
     they are at hand. Only functions that pass their language's gate are asked about, and each distinct
     prompt once. The answers are written to the shared scratch folder before use:
     both results read them, and neither a second read nor a lost executor may ask a
-    finished batch again.
+    finished batch again. Calls run in ``partitions`` tasks, as many as cores if not given: the
+    planner must not merge them for their few bytes.
     """
     spark = functions.sparkSession
     # Rows that need no summary get a key of their own rather than a shared null, which
@@ -66,6 +68,7 @@ def summarize(
     asked = with_prompt(functions, languages).withColumn("_ask", summary_gate(languages))
     keyed = asked.withColumn("prompt_id", F.when(F.col("_ask"), F.sha2(prompt, 256)).otherwise(own_key))
     distinct = keyed.filter("_ask").groupBy("prompt_id").agg(F.first(prompt).alias("prompt"))
+    distinct = distinct.repartition(partitions or spark.sparkContext.defaultParallelism, "prompt_id")
     answers = write_through(spark, answer_prompts(distinct, summarizer, batch_size), "answers")
     summaries = answers.select("prompt_id", F.col("summary").alias("_summary"))
     done = keyed.join(summaries, "prompt_id", "left").withColumn("summary", F.col("_summary"))

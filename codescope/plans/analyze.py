@@ -12,8 +12,8 @@ from ..functions.paths import name_of
 from ..operators import cache as C
 from ..operators import report as R
 from ..operators.directories import CODE_IDENTIFIERS, code_directories, in_code_directory
-from ..operators.errors import check_files
-from ..operators.extract import assemble_analysis, explode_analysis
+from ..operators.errors import with_errors
+from ..operators.extract import analysis, explode_analysis
 from ..operators.gitignore import RULE_FILES, apply_gitignore, ignore_rules
 from ..operators.languages import LANGUAGES, LanguageExtractor
 from ..operators.selection import code_files, distinct_files, documentation_files, drop_ignored
@@ -31,6 +31,7 @@ def collect_code_files(
     custom_ignore: Sequence[str] = (),
     identifiers: Sequence[str] = CODE_IDENTIFIERS,
     root: str = "",
+    languages: Sequence[LanguageExtractor] = LANGUAGES,
 ) -> DataFrame:
     """Code files to analyse: in a code directory, not ignored, of a known extension.
 
@@ -40,7 +41,7 @@ def collect_code_files(
     """
     spark = files.sparkSession
     dirs = write_through(spark, code_directories(files, identifiers, custom_ignore, root), "code-directories")
-    wanted = in_code_directory(code_files(drop_ignored(files, custom_ignore, root)), dirs)
+    wanted = in_code_directory(code_files(drop_ignored(files, custom_ignore, root), languages), dirs)
     if rule_files is None:
         return wanted
     return apply_gitignore(write_through(spark, wanted, "candidates"), ignore_rules(rule_files), dirs)
@@ -60,12 +61,16 @@ def collect_from_table(files: DataFrame, **options) -> DataFrame:
 
 @dataclass
 class Run:
-    """Result of one run; every table is lazy but what had to be written."""
+    """Result of one run; every table is lazy but what had to be written.
+
+    ``errors`` lists the files that could not be analysed (path, kind, message).
+    """
 
     analyses: DataFrame
     documentation: DataFrame
     packages: DataFrame
     log: DataFrame | None = None
+    errors: DataFrame | None = None
 
     def report(self) -> DataFrame:
         return R.report_blocks(self.documentation, self.packages, self.analyses)
@@ -87,36 +92,48 @@ def analyze_tree(
     The tree is listed once. Unchanged files are found on listed paths and times, so
     only changed files are ever read. What later steps read more than once (listing,
     chosen paths, fresh analyses) is written first.
+
+    A file that cannot be read or analysed is an error row. All good files are analysed, summarised and
+    cached before a run with ``on_error="fail"`` raises; ``"quarantine"`` returns with the rows in
+    ``errors``. The cache is keyed by path, time and a fingerprint of model, body mode and
+    languages, and a result never holds an entry of another key.
     """
     root = root.rstrip("/") or "/"
     listing = write_through(spark, list_source_tree(spark, root), "listing")
     rules = _as_text(read_contents(listing.filter(F.col("name").isin(*RULE_FILES))))
     chosen = write_through(
-        spark, distinct_files(collect_code_files(listing, rules, custom_ignore, root=root)), "chosen"
+        spark, distinct_files(collect_code_files(listing, rules, custom_ignore, root=root, languages=languages)), "chosen"
     )
     if chosen.select("path").isEmpty():
         return None
     manifests = _as_text(read_contents(listing.filter(F.col("rel_path").isin("package.json", "Cargo.toml"))))
 
+    asked = model if summarizer is not None else None
+    fingerprint = F.lit(repr((asked, body_mode, [lang.name for lang in languages])))
+    chosen = chosen.withColumn("fingerprint", fingerprint)
     cache = C.read_analysis_cache(spark, cache_path) if cache_path else spark.createDataFrame([], CACHE)
-    hits = C.cache_hits(chosen, cache).select("path", "last_modified", "analysis")
-    changed = check_files(read_contents(C.cache_misses(chosen, cache)), on_error)
-    fresh = assemble_analysis(changed, body_mode, languages).select("path", "last_modified", "analysis")
-    fresh = write_through(spark, fresh, "fresh")
+    columns = ["path", "last_modified", "fingerprint", "analysis"]
+    hits = C.cache_hits(chosen, cache).select(columns)
+    changed = with_errors(read_contents(C.cache_misses(chosen, cache)), languages)
+    found = F.when(F.col("error").isNull(), analysis(body_mode=body_mode, languages=languages))
+    tried = write_through(spark, changed.select("path", "last_modified", "fingerprint", found.alias("analysis"), "error"), "fresh")
+    errors = tried.filter("error IS NOT NULL").select("path", "error.*")
+    fresh = tried.filter("error IS NULL").select(columns)
     log = None
     if summarizer is not None:
         fresh, log = with_summaries(fresh, summarizer, model, languages)
+        fresh = write_through(spark, fresh, "summarised")
     analyses = fresh.unionByName(hits)
     if cache_path:
         C.write_analysis_cache(C.next_cache(analyses, cache, languages=languages), cache_path)
-        stored = C.read_analysis_cache(spark, cache_path)
-        analyses = stored.join(chosen.select("path"), "path", "left_semi")
-    return Run(analyses, documentation_files(listing), packages(manifests, root), log)
+    if on_error == "fail" and (first := errors.orderBy("path").head(1)):
+        raise ValueError(": ".join(first[0]))
+    return Run(analyses, documentation_files(listing), packages(manifests, root), log, errors)
 
 
 def _as_text(files: DataFrame) -> DataFrame:
     """Rule files and manifests as text; those that are not text are left out."""
-    return text_content(files).filter("content IS NOT NULL")
+    return text_content(files).filter("content IS NOT NULL").drop("io_error")
 
 
 def with_summaries(

@@ -29,14 +29,3 @@ def text_content(files: DataFrame) -> DataFrame:
     """Bytes decoded as UTF-8; null where they are not valid."""
     return files.withColumn("content", F.try_validate_utf8(F.col("content").cast("string")))
 
-
-def spread_small(df: DataFrame, *keys: str, task_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Spread a table that is too small to fill the cluster by itself.
-
-    A Parquet row group is never split, so a small file is one task however many
-    cores wait. Where the table's size on disk falls short of ``task_bytes`` per core
-    it is repartitioned by its keys; any larger table is left as it is scanned.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if int(size) < cores * task_bytes else df

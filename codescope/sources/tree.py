@@ -23,6 +23,7 @@ from ..functions.globs import glob_regex
 from ..schema import TREE
 
 _BATCH = 4096
+_BATCH_BYTES = 64 << 20
 # Directories the driver opens at most while it looks for enough slices.
 _DRIVER_DIRECTORIES = 2000
 
@@ -124,36 +125,46 @@ def list_source_tree(
 
 
 def read_contents(listed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Adds ``content`` (bytes) by reading each path on the executors.
+    """Adds ``content`` (bytes) and ``io_error`` by reading each path on the executors.
 
-    Listed rows are small, so they are spread first; a file that cannot be read any
-    more is left out.
+    Listed rows are small, so they are spread first, over a number of partitions of their own: the
+    planner would merge them by their size, which says nothing of the bytes behind them. A file
+    that cannot be read keeps its row, with null content and the reason in ``io_error``.
     """
-    spread = listed.repartition(partitions, F.xxhash64("path")) if partitions else listed.repartition("path")
+    partitions = partitions or 4 * listed.sparkSession.sparkContext.defaultParallelism
+    spread = listed.repartition(partitions, F.xxhash64("path"))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            # A few files at a time: a batch of rows may stand for a lot of bytes.
-            for start in range(0, len(frame), 64):
-                part = frame.iloc[start : start + 64]
-                contents = [_bytes_of(p) for p in part["path"]]
-                yield part.assign(content=contents).dropna(subset=["content"])
+            # A batch of rows may stand for a lot of bytes: it leaves in parts of bounded size.
+            start, held, size = 0, [], 0
+            for path in frame["path"]:
+                held.append(_bytes_of(path))
+                size += len(held[-1][0] or b"")
+                if size >= _BATCH_BYTES or len(held) == _BATCH:
+                    yield _part(frame, start, held)
+                    start, held, size = start + len(held), [], 0
+            if held:
+                yield _part(frame, start, held)
 
     ddl = ", ".join(f"{name} {kind}" for name, kind in listed.dtypes)
-    return spread.mapInPandas(read, f"{ddl}, content binary")
+    return spread.mapInPandas(read, f"{ddl}, content binary, io_error string")
 
 
-def _bytes_of(path: str) -> bytes | None:
+def _part(frame: pd.DataFrame, start: int, held: list[tuple[bytes | None, str | None]]) -> pd.DataFrame:
+    contents, errors = (pd.Series(c, index=frame.index[start : start + len(held)], dtype=object) for c in zip(*held))
+    return frame.iloc[start : start + len(held)].assign(content=contents, io_error=errors)
+
+
+def _bytes_of(path: str) -> tuple[bytes | None, str | None]:
     try:
         with open(path, "rb") as f:
-            return f.read()
-    except OSError:
-        return None
+            return f.read(), None
+    except OSError as e:
+        return None, e.strerror or str(e)
 
 
 def read_source_tree(
     spark: SparkSession, root: str, ignore: Sequence[str] = (), slices: int = 64, partitions: int | None = None
 ) -> DataFrame:
     return read_contents(list_source_tree(spark, root, ignore, slices), partitions)
-
-

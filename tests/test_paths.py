@@ -134,3 +134,10 @@ def test_distinct_and_empty(spark):
     df = table(spark, [("a.py", 1, "x"), ("a.py", 2, "y"), ("b.py", 1, "z")], "path string, last_modified bigint, content string")
     assert sorted(map(tuple, selection.distinct_files(df).collect())) == [("a.py", 2, "y"), ("b.py", 1, "z")]
     assert selection.require_nonempty(df) and not selection.require_nonempty(df.filter("path = 'no'"))
+
+
+def test_full_globs_reach_any_depth(spark):
+    deep = "./" + "d" * 100 + "/" + "/".join(["e" * 49] * 100) + "/b-ignore/x.py"
+    rows = spark.createDataFrame([(deep,), ("./a/b-ignore/x.py",), ("./a/x.py",)], "path string")
+    kept = rows.filter(~selection.is_ignored(F.col("path"), ["./**/b-ignore"], ".")).collect()
+    assert len(deep) > 5000 and [r["path"] for r in kept] == ["./a/x.py"]

@@ -1,12 +1,14 @@
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from codescope.operators import report
-from codescope.operators.summarize import first_line_summary
+from codescope.operators import errors, report
+from codescope.operators.languages import LANGUAGES, PYTHON
+from codescope.operators.summarize import answer_prompts, first_line_summary
 from codescope.plans.analyze import analyze_tree, collect_from_table
-from codescope.sources.tree import list_source_tree, read_source_tree
+from codescope.sources.tree import list_source_tree, read_contents, read_source_tree
 from codescope.streaming import snapshots
 
 TREE = {
@@ -63,9 +65,9 @@ def test_run_over_a_tree(spark, tree, tmp_path):
     assert os.path.isdir(out)
 
     # Nothing changed: nothing is asked again. Then one file changes.
-    assert analyze_tree(spark, str(tree), where, first_line_summary).log.count() == 0
+    assert analyze_tree(spark, str(tree), where, first_line_summary, "stub").log.count() == 0
     (tree / "pkg/_priv/p.py").write_text("class Q:\n    pass\n")
-    again = analyze_tree(spark, str(tree), where, first_line_summary)
+    again = analyze_tree(spark, str(tree), where, first_line_summary, "stub")
     types = {os.path.relpath(r["path"], tree): r["analysis"]["types"] for r in again.analyses.collect()}
     assert types["pkg/_priv/p.py"] == ["Q"] and again.log.count() == 0
 
@@ -100,3 +102,52 @@ def test_stream_skips_repeats_and_keeps_newest(spark, tmp_path):
     assert spark.read.parquet(log).filter(F.col("last_modified") == 100_000_000).count() == 1
     snapshots.compact(spark, log, str(tmp_path / "compact"))
     assert spark.read.parquet(str(tmp_path / "compact")).count() == 2
+
+
+def analysed(run, tree):
+    return {os.path.relpath(r["path"], tree): r for r in run.analyses.collect()}
+
+
+def test_bad_files_are_rows_and_good_ones_are_kept(spark, tree, tmp_path):
+    where = str(tmp_path / "cache")
+    assert len(analysed(analyze_tree(spark, str(tree), where), tree)) == 4
+    bad = tree / "pkg/_priv/p.py"
+    bad.write_bytes(b"\xff\xfe")
+    (tree / "pkg/new.py").write_text("import new\n")
+    with pytest.raises(ValueError, match="valid UTF-8"):
+        analyze_tree(spark, str(tree), where)
+    run = analyze_tree(spark, str(tree), where, on_error="quarantine")
+    got = analysed(run, tree)
+    assert "pkg/_priv/p.py" not in got and got["pkg/new.py"]["analysis"]["imports"] == ["new"]
+    assert [(os.path.relpath(e["path"], tree), e["kind"]) for e in run.errors.collect()] == [("pkg/_priv/p.py", "IoError")]
+
+
+def test_unreadable_files_keep_their_row(spark, tree):
+    listing = list_source_tree(spark, str(tree)).cache()
+    assert listing.count() == len(TREE)
+    (tree / "pkg/__init__.py").unlink()
+    rows = {r["rel_path"]: r for r in read_contents(listing).collect()}
+    assert len(rows) == len(TREE) and rows["pkg/__init__.py"]["content"] is None
+    found = errors.analysis_errors(read_contents(listing).filter(F.col("path").endswith(".py"))).collect()
+    assert [(r["kind"], r["message"]) for r in found] == [("IoError", "No such file or directory")]
+    assert read_contents(listing, 7).rdd.getNumPartitions() == 7
+    listing.unpersist()
+
+
+def test_cache_tells_body_modes_and_languages_apart(spark, tree, tmp_path):
+    where = str(tmp_path / "cache")
+    (tree / "src/z.py").write_text("x = 1\n\ndef f():\n    return 1\n")
+    body = lambda run: analysed(run, tree)["src/z.py"]["analysis"]["functions"][0]["body"]
+    reference = body(analyze_tree(spark, str(tree), where))
+    assert body(analyze_tree(spark, str(tree), where, body_mode="block")) != reference
+    assert body(analyze_tree(spark, str(tree), where)) == reference
+    go = replace(PYTHON, name="go", suffixes=(".go",))
+    (tree / "src/m.go").write_text("import fmt\n")
+    got = analysed(analyze_tree(spark, str(tree), where, languages=(*LANGUAGES, go)), tree)
+    assert got["src/m.go"]["analysis"]["imports"] == ["fmt"] and "src/main.rs" in got
+
+
+def test_prompts_are_shared_out(spark):
+    rows = spark.createDataFrame([(f"f{i}.rs", "rust", 1, f"f{i}", f"fn f{i} ()", "b", 9) for i in range(64)], "path string, language string, ord int, name string, signature string, body string, lines_of_code int")
+    seen = rows.select(F.col("name").alias("prompt_id"), F.col("body").alias("prompt")).repartition(5, "prompt_id")
+    assert answer_prompts(seen, lambda p: [""] * len(p)).rdd.getNumPartitions() == 5

@@ -387,9 +387,8 @@ FROM inference_log GROUP BY model""",
             "inference_log",
         ),
         "summarize": sql(
-            "SELECT a.path, a.ord, CASE WHEN k.path IS NOT NULL THEN a.signature END AS summary "
-            "FROM all_functions a LEFT JOIN asked k ON k.path = a.path AND k.ord = a.ord",
-            "asked",
+            "SELECT path, ord, CASE WHEN language = 'rust' OR lines_of_code > 6 THEN signature END AS summary FROM all_functions",
+            "all_functions",
         ),
         "render_report": sql(REPORT, "packages", "all_imports", "all_functions", "all_types", "all_exports"),
         "language_rollup": sql(
