@@ -27,10 +27,10 @@ _STRETCH = 1 << 18
 
 
 def _letters() -> np.ndarray:
-    """For each code point of the basic plane itself if it is a letter, else a blank; made once a worker."""
+    """For each code point itself if it is a letter, else a blank; made once a worker."""
     state = sys.modules.setdefault("_codescope_worker", types.ModuleType("_codescope_worker")).__dict__
     if "letters" not in state:
-        state["letters"] = np.array([k if chr(k).isalpha() else 32 for k in range(1 << 16)], np.uint32)
+        state["letters"] = np.array([k if chr(k).isalpha() else 32 for k in range(sys.maxunicode + 1)], np.uint32)
     return state["letters"]
 
 
@@ -44,7 +44,7 @@ def grams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, list[np.nd
         parts, size, first = [], 0, k
         while k < len(texts) and (size < _STRETCH or not parts):
             code = np.frombuffer((texts[k] or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-            code = np.where(code < 1 << 16, table[code & 0xFFFF], code)
+            code = table[code]
             parts.append(np.concatenate([[32], code, [32, 32]]).astype(np.uint32))
             size += len(code)
             k += 1

@@ -23,14 +23,14 @@ def test_predicts_held_out_documents(spark):
 
 def test_edges_and_independence(spark):
     rows = [(i, f"the quick brown fox and the dog {i}", "en", 0.5) for i in range(40)] + [(100 + i, f"le renard brun et la chienne été {i}", "fr", 0.5) for i in range(40)]
-    rows += [(300, None, "en", 0.1), (301, "", "fr", 0.1), (302, "1234 !?", "fr", 0.1), (303, "the dog", None, 0.1), (None, "la chienne", "en", 0.1), (304, "x" * 300_000, "en", 0.1), (5, rows[5][1], "en", 0.1)]
+    rows += [(300, None, "en", 0.1), (301, "", "fr", 0.1), (302, "1234 !?", "fr", 0.1), (303, "the dog", None, 0.1), (None, "la chienne", "en", 0.1), (304, "x" * 300_000, "en", 0.1), (305, "\U0001f600 \U0001f680!", "en", 0.1), (306, "\U00010400", "en", 0.1), (5, rows[5][1], "en", 0.1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
     got = {(r.doc_id, k): r for k, r in enumerate(language.identify(spark, docs).collect())}
     by = {d: r for (d, _), r in got.items()}
     assert len(got) == len(rows)
-    for d in (300, 301, 302):
+    for d in (300, 301, 302, 305):
         assert (by[d].lang_pred, by[d].score) == ("und", 0.0)
-    assert by[303].lang_pred == "en" and by[None].lang_pred == "fr" and by[None].held_out is False
+    assert by[303].lang_pred == "en" and by[306].lang_pred != "und" and by[None].lang_pred == "fr" and by[None].held_out is False
     other = spark.createDataFrame([(d, t, lang if d is not None and zlib.crc32(str(d).encode()) % 5 else "xx", s) for d, t, lang, s in rows if lang], docs.schema)
     again = {r.doc_id: r for r in language.identify(spark, other).collect()}
     assert all(again[d].lang_pred == by[d].lang_pred for d in (0, 1, 2, 100, 101, 102))  # labels of held-out rows change nothing
