@@ -3,7 +3,8 @@
 Works on lexical structure, not on a syntax tree: the text is cut into pieces so
 that comments, strings and characters are opaque, a running bracket depth finds the
 top-level items, and each item is read from its own short text. Known limits: block
-comments nested more than three deep, "||" of an argument-less closure (printed as
+comments nested more than sixteen deep, brackets nested more than sixteen deep in an
+attribute, "||" of an argument-less closure (printed as
 one token), and "<<" / ">>" told apart from generics by the blanks around them.
 """
 
@@ -22,7 +23,9 @@ def _nested_comment(depth: int) -> str:
     return rf"/\*(?:[^*/]++|\*(?!/)|/(?!\*){inner})*+\*/"
 
 
-_COMMENT = rf"(?://[^\n]*+|{_nested_comment(2)})"
+# A pattern cannot call itself: each level of nesting is written out.
+_LEVELS = 16
+_COMMENT = rf"(?://[^\n]*+|{_nested_comment(_LEVELS - 1)})"
 _DOC = rf"(?:(?=///(?!/)|//!|/\*\*(?![*/])|/\*!){_COMMENT})"
 _STRING = r'"(?:[^"\\]++|\\(?s:.))*+"'
 
@@ -44,10 +47,16 @@ _RUN = (
 )
 _PIECE = rf"(?dU)(?:{_RUN}|[{{}}()\[\];]|(?s:.))"
 
-_INNER_ATTRIBUTE = r"#!\s*\[(?:[^\[\]]|\[[^\[\]]*+\])*+\]"
+
+def _bracketed(depth: int) -> str:
+    inner = "" if depth == 0 else "|" + _bracketed(depth - 1)
+    return rf"\[(?:{_STRING}|[^\[\]]{inner})*+\]"
+
+
+_INNER_ATTRIBUTE = rf"#!\s*{_bracketed(_LEVELS - 1)}"
 _INNER_DOC = r"(?://!|/\*!)"
 _TRIVIA = rf"(?:\s++|(?!{_DOC}){_COMMENT}|(?={_INNER_DOC}){_COMMENT}|{_INNER_ATTRIBUTE})"
-_ATTRIBUTE = rf"#\s*\[(?:{_STRING}|[^\[\]]|\[(?:{_STRING}|[^\[\]]|\[[^\[\]]*+\])*+\])*+\]"
+_ATTRIBUTE = rf"#\s*{_bracketed(_LEVELS - 1)}"
 _LEAD = rf"(?:{_TRIVIA}|{_DOC}|{_ATTRIBUTE})*+"
 
 _VIS = r"(?:pub\b(?:\s*\([^)]*\))?\s*)?"

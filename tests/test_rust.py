@@ -126,3 +126,10 @@ def test_large_file(spark):
     df = spark.createDataFrame([(big,)], "content string")
     r = df.select(rs.functions(F.col("content")).alias("f")).first()["f"]
     assert (r[0]["lines_of_code"], r[0]["body"], len(r)) == (50_002, None, 2001)
+
+
+@pytest.mark.parametrize("depth", [1, 4, 10, 15])
+def test_deep_comments_and_attributes(spark, depth):
+    text = "/*" * depth + " { " + "*/" * depth + " #![doc = \"a]b\"]\n#[a(" + "[" * depth + "1" + "]" * depth + ")]\nfn shown() {}\n"
+    row = spark.createDataFrame([(text,)], "content string").select(rs.functions(F.col("content")).alias("f")).head()
+    assert [f["name"] for f in row["f"]] == ["shown"]
