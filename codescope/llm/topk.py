@@ -88,13 +88,16 @@ def _range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each query the counts of its scores in BINS equal bins of its range of this round."""
+    """For each query the counts of its scores in BINS equal bins of its range of this round.
+
+    The last bins may reach beyond the range; scores above its end were counted in an earlier round.
+    """
     for batch in batches:
         for row, qid, _, scores, other in _pairs(batch):
-            low, width = (np.frombuffer(row[c].as_buffer(), "<i8") for c in ("lows", "widths"))
+            low, high, width = (np.frombuffer(row[c].as_buffer(), "<i8") for c in ("lows", "highs", "widths"))
             with np.errstate(over="ignore"):
                 bins = np.floor_divide(scores - low[:, None], np.maximum(width, 1)[:, None])
-            inside = other & (scores >= low[:, None]) & (bins < BINS) & (width[:, None] > 0)
+            inside = other & (scores >= low[:, None]) & (scores <= high[:, None]) & (bins < BINS) & (width[:, None] > 0)
             place, _ = np.nonzero(inside)
             counts = np.bincount(place * BINS + bins[inside], minlength=len(qid) * BINS).reshape(len(qid), BINS)
             at, of = np.nonzero(counts)
@@ -140,25 +143,25 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     with batches_of(spark, 4):
         found = meet(None).mapInArrow(_range, "query long, place long, low long, high long, n long")
         state = found.groupBy("query", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-        state = state.select("query", "place", "low", F.ceil((F.col("high") - F.col("low") + 1) / BINS).cast("long").alias("width"), F.least(F.lit(k), F.col("n")).cast("long").alias("want"))
+        state = state.select("query", "place", "low", "high", F.ceil((F.col("high") - F.col("low") + 1) / BINS).cast("long").alias("width"), F.least(F.lit(k), F.col("n")).cast("long").alias("want"))
         state = write_through(spark, state, "state")
 
         def packed(state: DataFrame) -> DataFrame:
             """One row for each block of queries: its queries' ranges, in their places, as binaries."""
-            own = state.groupBy("query").agg(F.collect_list(F.struct("place", "low", "width")).alias("s"))  # at most QUERY_BLOCK
+            own = state.groupBy("query").agg(F.collect_list(F.struct("place", "low", "high", "width")).alias("s"))  # at most QUERY_BLOCK
 
             def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     for query, s in zip(batch["query"].to_pylist(), batch["s"].to_pylist()):
-                        lows, widths = np.full(QUERY_BLOCK, np.iinfo(np.int64).max, "<i8"), np.zeros(QUERY_BLOCK, "<i8")
+                        lows, highs, widths = np.full(QUERY_BLOCK, np.iinfo(np.int64).max, "<i8"), np.full(QUERY_BLOCK, np.iinfo(np.int64).min, "<i8"), np.zeros(QUERY_BLOCK, "<i8")
                         for x in s:
-                            lows[x["place"]], widths[x["place"]] = x["low"], x["width"]
-                        yield pa.RecordBatch.from_pydict({"query": pa.array([query], pa.int64()), "lows": pa.array([lows.tobytes()], pa.binary()), "widths": pa.array([widths.tobytes()], pa.binary()), "size": pa.array([len(s)], pa.int32())})
+                            lows[x["place"]], highs[x["place"]], widths[x["place"]] = x["low"], x["high"], x["width"]
+                        yield pa.RecordBatch.from_pydict({"query": pa.array([query], pa.int64()), "lows": pa.array([lows.tobytes()], pa.binary()), "highs": pa.array([highs.tobytes()], pa.binary()), "widths": pa.array([widths.tobytes()], pa.binary()), "size": pa.array([len(s)], pa.int32())})
 
-            own = own.mapInArrow(fill, "query long, lows binary, widths binary, size int")
+            own = own.mapInArrow(fill, "query long, lows binary, highs binary, widths binary, size int")
             sizes = asked.select("query", F.expr("cast(length(qids) / 8 as int)").alias("held"))
             cut = lambda c: F.substr(c, F.lit(1), F.col("held") * 8).alias(c)
-            return own.join(sizes, "query").select("query", cut("lows"), cut("widths"))
+            return own.join(sizes, "query").select("query", cut("lows"), cut("highs"), cut("widths"))
 
         while not state.where("width > 0").isEmpty():
             counts = meet(packed(state)).mapInArrow(_histogram, "query long, place long, bin long, n long")
@@ -169,7 +172,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
             at = state.join(bins, ["query", "place"], "left").withColumn("at", F.when(F.col("bins").isNotNull(), walk))
             narrow = F.when(F.col("width") > 1, F.ceil(F.col("width") / BINS)).otherwise(0).cast("long")
             low = F.when(F.col("width") > 0, F.col("low") + F.col("at.bin") * F.col("width")).otherwise(F.col("low"))
-            state = write_through(spark, at.select("query", "place", low.alias("low"), narrow.alias("width"), F.coalesce("at.want", "want").alias("want")), "state")
+            at = at.withColumn("_low", low)
+            high = F.when(F.col("width") > 0, F.col("_low") + F.least(F.col("high") - F.col("_low"), F.col("width") - 1)).otherwise(F.col("high"))  # the bin's last value
+            state = write_through(spark, at.select("query", "place", F.col("_low").alias("low"), high.alias("high"), narrow.alias("width"), F.coalesce("at.want", "want").alias("want")), "state")
 
         hits = meet(packed(state)).mapInArrow(_best(k), "query_id long, place long, query long, vec_id long, score long")
         first = hits.groupBy("query", "place", "query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("all"))

@@ -30,6 +30,15 @@ def test_equals_brute_force(spark, monkeypatch, k):
     assert sorted(map(tuple, got.collect())) == brute(rows, k, lambda q: q % 10 == 0)
 
 
+def test_rounds_count_no_score_above_the_chosen_bin(spark):
+    assert topk.BINS == 64
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(4000)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.top_k(spark, vectors, vectors.where("vec_id % 50 = 0"), 5)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5, lambda q: q % 50 == 0)
+
+
 def test_empty_tables(spark):
     vectors = topk.quantised(spark.createDataFrame([(5, [1.0])], "vec_id long, embedding array<float>"))
     assert topk.top_k(spark, vectors, vectors).collect() == []
