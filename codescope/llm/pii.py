@@ -137,7 +137,7 @@ class _Rules:
 
     def __init__(self) -> None:
         self.characters = _character_table()
-        self.odd = re.compile("[" + "".join(map(re.escape, sorted(self.characters))) + "]")
+        self.odd = re.compile("[" + "".join(re.escape(c) for c in sorted(self.characters) if c < "\u0250") + "\u0250-\U0010ffff]")  # may be in the table
         self.invisible = re.compile("[" + "".join(re.escape(c) for c, by in sorted(self.characters.items()) if not by) + "]+")
         self.visible = str.maketrans({c: by for c, by in self.characters.items() if by})
         self.alike = re.compile(r"(?<![A-Za-z0-9])(?=[0-9OoIl]{0,8}[0-9])[0-9OoIl]{2,}+(?![A-Za-z0-9])")
@@ -145,6 +145,7 @@ class _Rules:
         times = _either(" ".join(TIMES_WORDS))
         self.number = re.compile(rf"(?<![^\W_])(?:({times})[ -])?({_either(' '.join(DIGIT_WORDS))})(?![^\W_])", re.I)
         self.between = re.compile(r"[ \t,;/_-]{1,3}")
+        self.dotted = re.compile(rf"[ \t_]{{0,2}}(?:{_either(DOT_WORDS)}|\.)[ \t_]{{0,2}}", re.I)
         self.plus = re.compile(rf"(?<![^\W_])(?:{_either(PLUS_WORDS)})[ \t]{{1,2}}(?=[0-9])", re.I)
         gap = r"[ \t]{0,2}"
         self.bracketed = re.compile(rf"(?<=[A-Za-z0-9]){gap}[\[({{<]{gap}(?:({_either(AT_WORDS)}|@)|{_either(DOT_WORDS)}|\.){gap}[\])}}>]{gap}(?=[A-Za-z0-9])", re.I)
@@ -159,11 +160,14 @@ _rules: list[_Rules] = []
 
 
 def _look_alikes(rules: _Rules, text: str) -> str:
-    return text.translate(rules.visible) if not text.isascii() and rules.odd.search(text) else ""
+    own = text.translate(rules.visible) if not text.isascii() and rules.odd.search(text) else text
+    return own if own != text else ""
 
 
 def _invisible(rules: _Rules, text: str) -> list[tuple[int, int, str]]:
-    return [] if text.isascii() else [(m.start(), m.end(), "") for m in rules.invisible.finditer(text)]
+    if text.isascii() or not rules.odd.search(text):
+        return []
+    return [(m.start(), m.end(), "") for m in rules.invisible.finditer(text)]
 
 
 def _digits_alike(rules: _Rules, text: str) -> str:
@@ -174,17 +178,16 @@ def _digits_alike(rules: _Rules, text: str) -> str:
 
 
 def _spelled(rules: _Rules, text: str) -> list[tuple[int, int, str]]:
-    """Digits in words, next to one another or to a number; what separates two of them goes."""
+    """Digits in words, two at least that only separators or a dot keep apart; separators go, dots stay."""
     hits = [(m.start(), m.end(), rules.digit[m[2].lower()] * TIMES_WORDS.get((m[1] or "").lower(), 1)) for m in rules.number.finditer(text) if m[2].lower() in rules.digit]
-    near = [False] * (len(hits) + 1)
-    for k in range(1, len(hits)):
-        near[k] = hits[k][0] - hits[k - 1][1] <= 8
+    joined = [bool(rules.between.fullmatch(text, a[1], b[0])) for a, b in zip(hits, hits[1:])]
+    linked = [False, *(j or bool(rules.dotted.fullmatch(text, a[1], b[0])) for j, a, b in zip(joined, hits, hits[1:])), False]
     edits = []
-    for k, (start, end, by) in enumerate(hits):
-        if near[k] or near[k + 1] or any(c.isdigit() for c in text[max(0, start - 2) : start] + text[end : end + 2]):
-            if edits and near[k] and edits[-1][1] == hits[k - 1][1] and rules.between.fullmatch(text, hits[k - 1][1], start):
-                edits.append((hits[k - 1][1], start, ""))
-            edits.append((start, end, by))
+    for k, hit in enumerate(hits):
+        if linked[k] or linked[k + 1]:
+            if linked[k] and joined[k - 1]:
+                edits.append((hits[k - 1][1], hit[0], ""))
+            edits.append(hit)
     return edits
 
 
