@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,43 @@ def test_large_and_hostile_files(spark):
     assert one(spark, names, js.imports(F.col("content"))) == ["m"]
     gaps = "def f():\n    x\n" + "\n" * 100_000 + "    y\n"
     assert one(spark, gaps, py.functions(F.col("content"), "block"))[0]["lines_of_code"] == 100_002
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "export function f(a: string): void;\n",
+        "const f = (a) => a + 1;\n",
+        "const f = (a) => {\n  return a;\n}\n",
+        "function f(a) {\n  return a;\n}\n",
+        "function f(a)\n",
+        "const f = (a): T\n",
+    ],
+)
+def test_javascript_time_grows_with_the_file(spark, line):
+    """Eight times the lines take less than 24 times the time: pairs of functions are never looked at."""
+
+    def seconds(n):
+        df = spark.createDataFrame([(line * n,)], "content string")
+        start = time.perf_counter()
+        df.select(F.size(js.functions(F.col("content")))).collect()
+        return time.perf_counter() - start
+
+    seconds(10)
+    base = seconds(10)  # planning, whatever the file
+    small, large = seconds(4000) - base, seconds(32000) - base
+    assert large < 24 * max(small, 0.25)
+
+
+def test_javascript_bodies_end_at_the_first_line_of_equal_depth(spark):
+    source = "\n".join(
+        ["function a() {", "  if (x) {", "  }", "}", "const b = () => {", "  const c = () => {", "  }", "}", "function open() {", "  {", "const last = (x) => { {", "}", "tail"]
+    )
+    got = one(spark, source, js.functions(F.col("content"), "block"))
+    assert [(f["name"], f["body"]) for f in got] == [
+        ("a", "\n  if (x) {\n  }\n}\n"),
+        ("open", "\n  {\nconst last = (x) => { {\n}\ntail\n"),
+        ("b", " {\n  const c = () => {\n  }\n}\n"),
+        ("c", " {\n  }\n"),
+        ("last", " { {\n}\ntail\n"),
+    ]
