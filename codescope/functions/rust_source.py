@@ -2,10 +2,10 @@
 
 Works on lexical structure, not on a syntax tree: the text is cut into pieces so
 that comments, strings and characters are opaque, a running bracket depth finds the
-top-level items, and each item is read from its own short text. Known limits: block
-comments nested more than sixteen deep, brackets nested more than sixteen deep in an
-attribute, "||" of an argument-less closure (printed as
-one token), and "<<" / ">>" told apart from generics by the blanks around them.
+top-level items, and each item is read from its own short text. Comments and attribute
+brackets that nest deeper than the patterns count are made flat first (``nesting``). Known
+limits: "||" of an argument-less closure (printed as one token), and "<<" / ">>" told apart
+from generics by the blanks around them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .nesting import flat, with_brackets, with_comments
 from .text import count_of, let, prefix_sum
 
 # --- lexical patterns -------------------------------------------------------------
@@ -96,8 +97,15 @@ def bracket_depth(ps: Column) -> Column:
     )
 
 
+def _flat(content: Column) -> Column:
+    return flat(content, pieces, _LEVELS)
+
+
 def items(content: Column) -> Column:
-    """Top-level items: kind, public flag, name and source text (attributes included)."""
+    """Top-level items: kind, public flag, name and source text (attributes included).
+
+    The text is flat; whatever prints part of it puts the replaced delimiters back.
+    """
 
     def cut(ps: Column, depth: Column) -> Column:
         closers = F.filter(
@@ -116,7 +124,7 @@ def items(content: Column) -> Column:
         )
 
     found = let(
-        pieces(content), lambda ps: F.when(F.size(ps) > 0, let(bracket_depth(ps), lambda d: cut(ps, d)))
+        pieces(_flat(content)), lambda ps: F.when(F.size(ps) > 0, let(bracket_depth(ps), lambda d: cut(ps, d)))
     )
     trimmed = F.transform(found, lambda t: F.regexp_replace(t, rf"(?dU)\A{_TRIVIA}++", ""))
     return F.filter(F.transform(trimmed, describe), lambda it: it["kind"] != "")
@@ -150,7 +158,7 @@ def _join(texts: Column, starts: Column) -> Column:
 def is_balanced(content: Column) -> Column:
     """False where brackets do not match up, which no Rust parser accepts."""
     return let(
-        bracket_depth(pieces(content)),
+        bracket_depth(pieces(_flat(content))),
         lambda d: (F.size(d) == 0) | ((F.element_at(d, -1) == 0) & (F.array_min(d) >= 0)),
     ) | (content == "")
 
@@ -191,16 +199,20 @@ def token_text(text: Column) -> Column:
 # --- tables of items --------------------------------------------------------------
 
 
+def _printed(text: Column) -> Column:
+    return with_comments(token_text(with_brackets(text)))
+
+
 def _of_kind(its: Column, *kinds: str) -> Column:
     return F.filter(its, lambda it: it["kind"].isin(*kinds))
 
 
 def imports_of(its: Column) -> Column:
-    return F.transform(_of_kind(its, "use"), lambda it: token_text(it["text"]))
+    return F.transform(_of_kind(its, "use"), lambda it: _printed(it["text"]))
 
 
 def types_of(its: Column) -> Column:
-    return F.transform(_of_kind(its, "struct", "enum", "type", "impl"), lambda it: token_text(it["text"]))
+    return F.transform(_of_kind(its, "struct", "enum", "type", "impl"), lambda it: _printed(it["text"]))
 
 
 def exports_of(its: Column) -> Column:
@@ -210,7 +222,7 @@ def exports_of(its: Column) -> Column:
 
 def functions_of(its: Column, body_mode: str = "reference") -> Column:
     def split(it: Column) -> Column:
-        code = F.regexp_replace(it["text"], rf"(?dU)\A{_LEAD}{_VIS}", "")
+        code = with_brackets(F.regexp_replace(it["text"], rf"(?dU)\A{_LEAD}{_VIS}", ""))
         return let(
             code,
             lambda c: let(
@@ -231,9 +243,9 @@ def functions_of(its: Column, body_mode: str = "reference") -> Column:
         )
         return F.struct(
             f["name"].alias("name"),
-            strip_signature_body(f["signature"]).alias("signature"),
-            signature_types(f["signature"]).alias("types"),
-            body.alias("body"),
+            with_comments(strip_signature_body(f["signature"])).alias("signature"),
+            with_comments(signature_types(f["signature"])).alias("types"),
+            with_comments(body).alias("body"),
             f["lines_of_code"].alias("lines_of_code"),
             cyclomatic(f["block"]).alias("cyclomatic_complexity"),
             f["inputs"]["n"].cast("bigint").alias("parameters"),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,8 +130,42 @@ def test_large_file(spark):
     assert (r[0]["lines_of_code"], r[0]["body"], len(r)) == (50_002, None, 2001)
 
 
-@pytest.mark.parametrize("depth", [1, 4, 10, 15])
+@pytest.mark.parametrize("depth", [1, 4, 15, 17, 1000])
 def test_deep_comments_and_attributes(spark, depth):
     text = "/*" * depth + " { " + "*/" * depth + " #![doc = \"a]b\"]\n#[a(" + "[" * depth + "1" + "]" * depth + ")]\nfn shown() {}\n"
     row = spark.createDataFrame([(text,)], "content string").select(rs.functions(F.col("content")).alias("f")).head()
     assert [f["name"] for f in row["f"]] == ["shown"]
+
+
+def test_deep_comments_hide_what_they_hold(spark):
+    """Random texts: a comment of any depth counts as one without nesting, wherever it stands."""
+    rng = random.Random(4)
+    around = ["fn a%d() { b(); }", "pub struct S%d { a: u8 }", 'const X%d: &str = "/* \\" // */";', "use m%d::x;", "fn c%d() { let q = '\"'; let s = r#\"\" /*\"#; }", "// line /* %d\n", "fn l%d<'a>(x: &'a str) { let c = '\\''; }"]
+    inside = ["don't", '"', "{", "}", "[", "r#\"", "//", "// x\n", "'\"'", "\\", "*", "\n", "fn no() {}"]
+
+    def comment(depth):
+        word = lambda: " " + rng.choice(inside) + " "
+        return "/*" + word() + (comment(depth - 1) if depth > 1 else "") + word() + "*/"
+
+    rows = []
+    for k in range(120):
+        deep, plain = [], []
+        for n in range(rng.randrange(1, 7)):
+            text = rng.choice(around) % n + "\n"
+            own = comment(rng.choice([1, 3, 17, 18, 30])) if rng.random() < 0.6 else ""
+            deep += [own, "\n", text]
+            plain += ["/* x */" if own else "", "\n", text]
+        rows.append((k, "".join(deep), "".join(plain)))
+    df = spark.createDataFrame(rows, "k int, deep string, plain string")
+    parts = lambda c: F.struct(rs.exports(F.col(c)), rs.types(F.col(c)), rs.imports(F.col(c)), F.transform(rs.functions(F.col(c)), lambda f: F.struct(f["name"], f["signature"], f["body"])), rs.is_balanced(F.col(c)))
+    got = df.select("deep", parts("deep").alias("a"), parts("plain").alias("b")).collect()
+    assert [r["deep"] for r in got if r["a"] != r["b"]] == []
+    assert sum(len(r["a"][3]) for r in got) > 100
+
+
+def test_what_deep_comments_print_is_whole(spark):
+    doc = "/** " + "/* " * 20 + "x" + " */" * 20 + " */"
+    row = spark.createDataFrame([(doc + "\nstruct S;\nfn f() { g(); " + "/* " * 20 + " */" * 20 + " }",)], "content string").select(
+        rs.types(F.col("content")).alias("t"), rs.functions(F.col("content"), "block").alias("f")).head()
+    assert row["t"] == ['# [doc = "' + doc[3:-2] + '"] struct S ;']
+    assert row["f"][0]["body"] == "{ g(); " + "/* " * 20 + " */" * 20 + " }"
