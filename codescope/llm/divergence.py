@@ -14,7 +14,7 @@ from codescope.llm.common import salted_join, write_through
 #: Bytes of text that a task sorts at once (or one text).
 CHUNK = 8 << 20
 #: Numbers (terms x sources) of a block of terms that one call compares.
-CELLS = 1 << 20
+CELLS = 1 << 17
 #: p is counted in units of 1/SCALE; each occurrence count is raised by RAISE.
 SCALE, RAISE = 1_000_000_000, 2
 
