@@ -2,9 +2,8 @@
 
 These work on key columns: pass ``files`` without its content where the result is
 only needed to choose paths (see ``plans``), so that no file content is shuffled.
-No side is marked for broadcast. The sets grow with the corpus, so the choice is
-left to the adaptive planner, which knows their size when it picks the join and
-splits a hot directory.
+Membership is found by a walk along the sorted paths (``intervals``), so neither a hot
+directory nor the top of the tree is the key of a join.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors_of, directory_of
+from .intervals import below, walk
 from .selection import ignore_patterns, is_ignored
 
 # Names that make their directory a code directory.
@@ -43,12 +42,26 @@ def code_directories(
     return dirs.filter(~is_ignored(F.col("dir"), ignore_patterns(custom_ignore), root))
 
 
-def in_code_directory(files: DataFrame, code_dirs: DataFrame) -> DataFrame:
-    """Files below some code directory, each once however many enclose it.
+class _Inside:
+    """Keeps paths below some marked directory."""
 
-    Ancestors are followed per distinct directory, not per file.
-    """
-    dirs = files.select(directory_of(F.col("path")).alias("dir")).distinct()
-    chain = dirs.select("dir", F.explode(ancestors_of(F.col("dir"))).alias("above"))
-    inside = chain.join(code_dirs.select(F.col("dir").alias("above")), "above", "left_semi").select("dir").distinct()
-    return files.join(inside, directory_of(files["path"]) == inside["dir"], "left_semi")
+    def __init__(self) -> None:
+        self.open: list[str] = []
+
+    def _leave(self, path: str) -> None:
+        while self.open and not below(path, self.open[-1]):
+            self.open.pop()
+
+    def mark(self, row: dict) -> None:
+        self._leave(row["dir"])
+        self.open.append(row["dir"])
+
+    def keeps(self, path: str) -> bool:
+        self._leave(path)
+        return bool(self.open)
+
+
+def in_code_directory(files: DataFrame, code_dirs: DataFrame) -> DataFrame:
+    """Files below some code directory, each row once however many enclose it."""
+    inside = walk(files.select("path").distinct(), code_dirs.select("dir"), _Inside)
+    return files.join(inside, "path", "left_semi").select(*files.columns)

@@ -14,7 +14,7 @@ from ..operators import report as R
 from ..operators.directories import CODE_IDENTIFIERS, code_directories, in_code_directory
 from ..operators.errors import with_errors
 from ..operators.extract import analysis, explode_analysis
-from ..operators.gitignore import RULE_FILES, apply_gitignore, ignore_rules
+from ..operators.gitignore import RULE_FILES, ignore_rules, unignored_paths
 from ..operators.languages import LANGUAGES, LanguageExtractor
 from ..operators.selection import code_files, distinct_files, documentation_files, drop_ignored
 from ..operators.summarize import Summarizer, summarize
@@ -36,15 +36,16 @@ def collect_code_files(
     """Code files to analyse: in a code directory, not ignored, of a known extension.
 
     ``files`` needs no content; ``rule_files`` are the ignore files with theirs. The
-    cheap row filters come first, so the joins see code files only. Code directories
-    and candidate paths are written once, as the steps behind read them repeatedly.
+    cheap row filters come first, so the walk along the paths sees code files only.
+    Code directories are written once, as the walk reads them twice.
     """
     spark = files.sparkSession
     dirs = write_through(spark, code_directories(files, identifiers, custom_ignore, root), "code-directories")
-    wanted = in_code_directory(code_files(drop_ignored(files, custom_ignore, root), languages), dirs)
+    wanted = code_files(drop_ignored(files, custom_ignore, root), languages)
     if rule_files is None:
-        return wanted
-    return apply_gitignore(write_through(spark, wanted, "candidates"), ignore_rules(rule_files), dirs)
+        return in_code_directory(wanted, dirs)
+    kept = unignored_paths(wanted.select("path").distinct(), ignore_rules(rule_files), dirs, inside=True)
+    return wanted.join(kept, "path", "left_semi").select(*wanted.columns)
 
 
 def collect_from_table(files: DataFrame, **options) -> DataFrame:

@@ -141,3 +141,77 @@ def test_full_globs_reach_any_depth(spark):
     rows = spark.createDataFrame([(deep,), ("./a/b-ignore/x.py",), ("./a/x.py",)], "path string")
     kept = rows.filter(~selection.is_ignored(F.col("path"), ["./**/b-ignore"], ".")).collect()
     assert len(deep) > 5000 and [r["path"] for r in kept] == ["./a/x.py"]
+
+
+def tree_of(rng, n):
+    names = ["a", "b", "a b", "a.b", "gen", "é", "x.log", "keep"]
+    return sorted({"/".join(rng.choice(names) for _ in range(rng.randrange(0, 6))) + "/" * (k % 2) + f"f{k % 40}.{rng.choice(['py', 'log'])}" for k in range(n)})
+
+
+def brute_ignored(path, rules, code_dirs):
+    """Straight from the rules: every directory on the way down, then the file."""
+    above = ["", *(path[:i] for i, c in enumerate(path) if c == "/" and i)]
+
+    def skips(entry, holders, is_dir):
+        import re
+
+        for name in (".gitignore", ".ignore"):
+            for holder in reversed(holders):
+                below = entry[len(holder) + 1 :] if holder else entry.removeprefix("/")
+                hits = [r for line in rules.get((holder, name), "").split("\n") if (r := gitignore_rule(line)) and (is_dir or not r[2]) and re.match(r[0].replace(r"\z", r"\Z"), below)]
+                if hits:
+                    return not hits[-1][1]
+        return False
+
+    cut = max((k for k in range(1, len(above)) if skips(above[k], above[:k], True)), default=-1)
+    start = max((k for k, d in enumerate(above) if d in code_dirs), default=-1)
+    return cut > start or skips(path, above, False)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_walk_equals_brute_force(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    paths = tree_of(rng, 400)
+    dirs = sorted({p[:i] for p in paths for i, c in enumerate(p) if c == "/" and i} | {""})
+    lines = ["*.log", "!keep/", "gen/", "/a", "a b/", "!x.log", "b/*.py", "f1*", "**/é", "!f11.py"]
+    rules = {(rng.choice(dirs), rng.choice([".gitignore", ".ignore"])): "\n".join(rng.sample(lines, 3)) for _ in range(12)}
+    code_dirs = rng.sample(dirs, 8)
+    table_of_rules = gitignore.ignore_rules(table(spark, [(f"{d}/{n}".removeprefix("/"), t) for (d, n), t in rules.items()], "path string, content string"))
+    marked = table(spark, code_dirs, "dir string")
+    files = table(spark, paths + paths[:5])
+    assert paths_of(gitignore.apply_gitignore(files, table_of_rules)) == sorted(p for p in paths + paths[:5] if not brute_ignored(p, rules, ()))
+    assert paths_of(gitignore.apply_gitignore(files, table_of_rules, marked)) == sorted(p for p in paths + paths[:5] if not brute_ignored(p, rules, code_dirs))
+    inside = [p for p in paths if any(not d or p.startswith(d + "/") for d in code_dirs[:3])]
+    assert paths_of(directories.in_code_directory(table(spark, paths), marked.limit(3))) == inside
+    assert paths_of(directories.in_code_directory(table(spark, paths), marked.limit(0))) == []
+
+
+def test_paths_meet_no_directory_key(spark):
+    """Paths are dealt out by ranges and met by path; only marks meet the few directories above the ranges' starts."""
+    files = table(spark, tree_of(__import__("random").Random(3), 200))
+    rules = gitignore.ignore_rules(table(spark, RULES, "path string, content string"))
+    plan = gitignore.apply_gitignore(files, rules, table(spark, ["a"], "dir string"))._jdf.queryExecution()
+    logical, physical = plan.optimizedPlan().toString(), plan.executedPlan().toString()
+    assert "Generate" not in physical
+    keys = [line.split("hashpartitioning(")[1].split("#")[0] for line in physical.split("\n") if "hashpartitioning(" in line]
+    assert set(keys) <= {"path", "dir", "at"} and "Repartition" in logical and "part" in logical
+
+
+def test_a_root_rule_file_moves_once_for_each_range(spark):
+    """A thousand rules at the top, many directories: the rows that travel with rules are as many as ranges."""
+    from codescope.operators import intervals
+
+    paths = [f"d{k}/e/f.py" for k in range(3000)]
+    rules = gitignore.ignore_rules(table(spark, [(".gitignore", "\n".join(f"n{k}" for k in range(1000)))], "path string, content string"))
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counted(gitignore._Unignored):
+        def mark(self, row):
+            seen.add(1)
+            super().mark(row)
+
+    kept = intervals.walk(table(spark, paths), rules.select("dir", "rank", "rules"), lambda: Counted(False))
+    assert kept.count() == 3000
+    assert seen.value <= int(spark.conf.get("spark.sql.shuffle.partitions"))
