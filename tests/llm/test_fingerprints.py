@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from codescope.llm import fingerprints
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -37,6 +39,23 @@ def test_edits_and_likeness(spark, monkeypatch):
     assert rows[ids[40]].fingerprint == rows[ids[41]].fingerprint == rows[ids[44]].fingerprint == ""
 
 
+@pytest.mark.parametrize("spread", ["dense", "spread", "clustered", "one id", "none"])
+def test_successors_whatever_the_ids(spark, monkeypatch, spread):
+    monkeypatch.setattr(fingerprints, "STRETCH", 8)
+    rng = random.Random(6)
+    ids = {"dense": range(300), "spread": [rng.randrange(-(1 << 63), 1 << 63) for _ in range(300)], "clustered": [*range(250), *(rng.randrange(1 << 40, 1 << 60) for _ in range(50))], "one id": [7] * 150 + list(range(100, 250)), "none": [None] * 200 + list(range(100))}[spread]
+    rows = [(i, f"t{k} text") for k, i in enumerate(ids)]
+    pairs = fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes = Counter(r.stretch for r in pairs)
+    assert max(sizes.values()) <= 40 and len(sizes) > 10
+    line = sorted(pairs, key=lambda r: (-r.stretch, r.pos))
+    assert sorted((str(r.doc_id), r.text) for r in line) == sorted((str(i), t) for i, t in rows)
+    assert [r.doc_id for r in line] == sorted((i for i in ids if i is not None), reverse=True) + [i for i in ids if i is None]
+    for r, following in zip(line, [*line[1:], line[0]]):
+        half = len(r.text) // 2
+        assert r.edited == r.text[: len(r.text) - half] + following.text[:half]
+
+
 def test_one_row_repeats_and_empty_table(spark):
     schema = "doc_id long, text string"
     assert fingerprints.document_fingerprints(spark, spark.createDataFrame([], schema)).collect() == []
