@@ -6,6 +6,7 @@ import re
 import sys
 import types
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ CAPACITY = 2048
 END = 0
 #: Pieces of text whose ids a worker remembers before it starts anew (memory only, never the result).
 REMEMBERED = 500_000
+#: Steps of the search for a plan better than best fit, at most (some microseconds each, on the driver); best fit needs none.
+STEPS = 200_000
 #: Ranks of one length are counted in so many parts.
 PARTS = 256
 
@@ -110,97 +113,169 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema)
 
 
-def fillings(counts: np.ndarray, room: int, nodes: int, keep: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Up to ``keep`` fillings (waste, sizes) of ``room`` from the counted sizes, the least waste first.
+Pattern = tuple[tuple[int, int], ...]  # (size, items of it) of one bin
 
-    Only fillings to which nothing can be added count: others are dominated. Larger sizes go first,
-    so that a filling that swaps an item for a smaller one comes later and is dropped unless it wastes less.
-    ``nodes`` bounds the search; the first descent is best fit.
-    """
-    left = counts.copy()
-    found: list[tuple[int, tuple[int, ...]]] = []
-    bound, budget = room + 1, nodes
-    have = np.flatnonzero(left)
-    smallest = int(have[0]) if len(have) else room + 1
-
-    def descend(room: int, top: int, chosen: list[int]) -> None:
-        nonlocal bound, budget
-        budget -= 1
-        if 0 < room <= top and left[room]:  # one item fills it
-            found.append((0, (*chosen, room)))
-            bound = 0
-            return
-        fits = np.flatnonzero(left[smallest : min(room, top) + 1]) + smallest
-        if not len(fits):
-            if room < bound and not left[smallest : room + 1].any():
-                found.append((room, tuple(chosen)))
-                bound = room
-            return
-        for s in fits[::-1].tolist():
-            if bound == 0 or budget <= 0 and found:
-                return
-            left[s] -= 1
-            chosen.append(s)
-            descend(room - s, s, chosen)
-            chosen.pop()
-            left[s] += 1
 
-    descend(room, room, [])
-    return sorted(found, key=lambda f: (f[0], len(f[1])))[:keep]
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """Best-fit decreasing as patterns (pattern, times): each item, largest first, into the fullest bin that holds it.
+
+    Items of one size go together, as do bins of one content, so the work depends on the number of sizes only.
+    """
+    rooms: dict[int, list[tuple[Pattern, int]]] = {}
+    for size in np.flatnonzero(counts)[::-1].tolist():
+        items = int(counts[size])
+        while items:
+            room = min((r for r in rooms if r >= size), default=None)
+            pattern, times = rooms[room].pop() if room is not None else ((), items)
+            if room is not None and not rooms[room]:
+                del rooms[room]
+            room = capacity if room is None else room
+            # A bin stays the fullest that fits until it does not: it takes as many as it holds.
+            each = room // size
+            full = min(times, items // each)
+            spare = items - full * each if full < times else 0
+            spare = min(spare, each - 1) if spare else 0
+            for k, n in ((each, full), (spare, 1 if spare else 0)):
+                if n:
+                    rooms.setdefault(room - k * size, []).append(((*pattern, (size, k)), n))
+            if pattern and (rest := times - full - (1 if spare else 0)):
+                rooms.setdefault(room, []).append((pattern, rest))
+            items -= full * each + spare
+    return [held for room in sorted(rooms) for held in rooms[room]]
+
+
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """The most of the bounds of Martello and Toth: items above capacity - k stand alone, of those above half each needs a bin, and the rest (from k on) fills what they leave."""
+    size = np.arange(len(counts))
+    items, volume = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * size)])
+    best = -(-int(volume[-1]) // capacity)
+    half = capacity // 2
+    for k in [0, *np.flatnonzero(counts[: half + 1]).tolist()]:
+        alone, large = int(items[-1] - items[capacity - k + 1]), int(items[capacity - k + 1] - items[half + 1])
+        beside = large * capacity - int(volume[capacity - k + 1] - volume[half + 1])
+        best = max(best, alone + large + max(0, -(-(int(volume[half + 1] - volume[k]) - beside) // capacity)))
+    return best
 
 
-def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 400, rounds: int = 12) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (sizes, times) that pack ``counts[size]`` items of each size into few bins of ``capacity``.
+def fillings(left: np.ndarray, room: int, allowed: int) -> Iterator[tuple[int, Pattern] | None]:
+    """Undominated fillings (waste, pattern) of ``room`` from the counted sizes that waste at most ``allowed``; None after each other step.
 
-    Each step takes the largest size left, fills its bin and repeats the pattern while its sizes last, so there
-    are at most a few thousand patterns whatever the number of items. The best-fit solution is the
-    incumbent; further rounds take the next best filling at one step each and are cut as soon as their waste
-    rules out one bin less. The search ends at the lower bound or after ``rounds``.
+    Dominated are fillings to which an item can be added, and those in which a left-over item fits in the place of a
+    smaller one. Larger items go first.
+    """
+    sizes = np.flatnonzero(left[: room + 1])[::-1].tolist()
+    sizes = [s for s in sizes if s]
+    have = [int(left[s]) for s in sizes]
+    tail = np.append(np.cumsum([s * n for s, n in zip(sizes, have)][::-1])[::-1], 0).tolist()
+    falling = [-s for s in sizes]
+    stack: list[tuple[int, int, int, Pattern, int]] = [(0, room, room + 1, (), -1)]
+    while stack:
+        i, rest, skipped, chosen, k = stack.pop()
+        if k < 0:  # to the next size that fits
+            i = max(i, bisect_left(falling, -rest))
+            if i == len(sizes):
+                if rest <= allowed and rest < skipped and not _swappable(left, chosen, rest):
+                    yield rest, chosen
+                else:
+                    yield None
+                continue
+            if rest - tail[i] > allowed:
+                yield None
+                continue
+            k = min(have[i], rest // sizes[i])
+        most = min(have[i], rest // sizes[i])
+        if k:
+            stack.append((i, rest, skipped, chosen, k - 1))
+        stack.append((i + 1, rest - k * sizes[i], skipped if k == most else min(skipped, sizes[i]), (*chosen, (sizes[i], k)) if k else chosen, -1))
+        yield None
+
+
+def _swappable(left: np.ndarray, chosen: Pattern, waste: int) -> bool:
+    used = dict(chosen)
+    return any(left[y] > used.get(y, 0) for s, _ in chosen for y in range(s + 1, min(s + waste + 1, len(left)))) if waste else False
+
+
+def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS) -> list[tuple[Pattern, int]]:
+    """Patterns (pattern, times) that pack ``counts[size]`` items of each size into few bins of ``capacity``.
+
+    Best-fit decreasing is the incumbent. Branch and bound then looks for one bin less: the largest item left is completed by
+    every undominated filling, the least wasteful of a handful first, and a branch ends once its waste rules the target out. A filling
+    is repeated while its items last, then, on the way back, less often, so that a step stands for many bins. Each better plan
+    is the next incumbent. The search ends at the lower bound, when no branch is left (the plan is then optimal where no
+    filling could be repeated more than eight times), or after ``steps``; the plan is never worse than best fit.
     """
-    total = int((np.arange(len(counts)) * counts).sum())
-    large = int(counts[capacity // 2 + 1 :].sum())
-    bound = max(-(-total // capacity), large)
-
-    def solve(swerve: int, limit: float) -> tuple[int, list, int] | None:
-        left, waste, bins, out, step, choices = counts.copy(), 0, 0, [], 0, 0
-        while (have := np.flatnonzero(left)).size:
-            top = int(have[-1])
-            left[top] -= 1
-            options = fillings(left, capacity - top, nodes, 2)
-            left[top] += 1
-            choices += len(options) > 1
-            spill, rest = options[1] if len(options) > 1 and choices == swerve else options[0]
-            sizes = (top, *rest)
-            own = np.bincount(sizes, minlength=len(counts))
-            used = np.flatnonzero(own)
-            times = int((left[used] // own[used]).min())
-            left[used] -= own[used] * times
-            bins += times
-            out.append((sizes, times))
-            step += 1
-            if have.size > 1 or left.any():
-                waste += spill * times  # the last bin's room is no loss
-            if waste > limit:
-                return None
-        return bins, out, choices
-
-    bins, best, choices = solve(0, float("inf"))
-    for swerve in range(1, min(rounds, choices) + 1):
-        if bins <= bound:
+    best = best_fit(counts, capacity)
+    bound, total = lower_bound(counts, capacity), int((np.arange(len(counts)) * counts).sum())
+    bins = sum(n for _, n in best)
+    while bins > bound and steps > 0:
+        found, steps = _fewer(counts, capacity, (bins - 1) * capacity - total, steps)
+        if found is None:
             break
-        found = solve(swerve, (bins - 1) * capacity - total)
-        if found and found[0] < bins:
-            bins, best, _ = found
+        best, bins = found, sum(n for _, n in found)
     return best
 
 
-def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
+def _fewer(counts: np.ndarray, capacity: int, allowed: int, steps: int) -> tuple[list[tuple[Pattern, int]] | None, int]:
+    """A plan that wastes at most ``allowed``, or None; and the steps that are left. An explicit stack, whatever the depth."""
+
+    def branches(left: np.ndarray, waste: int) -> Iterator[tuple[Pattern, int, int] | None]:
+        top = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[top] -= 1
+        found: list[tuple[int, Pattern]] = []
+        source, looked = fillings(rest, capacity - top, allowed - waste), 0
+        while True:
+            step = next(source, False)
+            looked += 1
+            if step:
+                found.append(step)
+            if step is False or len(found) == 32 or (looked >= 500 and found):
+                for spill, filling in sorted(found, key=lambda f: (f[0], len(f[1]))):
+                    own = dict(filling)
+                    own[top] = own.get(top, 0) + 1
+                    pattern = tuple(sorted(own.items(), reverse=True))
+                    most = min(int(left[s]) // k for s, k in pattern)
+                    for times in range(most, 0, -1) if most <= 8 else [most >> h for h in range(most.bit_length())]:
+                        if waste + spill * times <= allowed:
+                            yield pattern, times, spill
+                found, looked = [], 0
+            if step is False:
+                return
+            yield None
+
+    left = counts.copy()
+    if not left.any():
+        return [], steps
+    stack = [(left, 0, branches(left, 0))]
+    plan: list[tuple[Pattern, int]] = []
+    while stack and steps > 0:
+        left, waste, ways = stack[-1]
+        way = next(ways, False)
+        steps -= 1
+        if way is None:
+            continue
+        if way is False:
+            stack.pop()
+            if plan:
+                plan.pop()
+            continue
+        pattern, times, spill = way
+        left = left.copy()
+        for s, k in pattern:
+            left[s] -= k * times
+        plan.append((pattern, times))
+        if not left.any():
+            return plan, steps
+        stack.append((left, waste + spill * times, branches(left, waste + spill * times)))
+    return None, steps
+
+
+def _slots(patterns: list[tuple[Pattern, int]]) -> np.ndarray:
     """Rows (size, first rank, items per bin, first bin, offset), sorted by size and rank."""
     rows, used, base = [], {}, 0
-    for sizes, times in patterns:
+    for pattern, times in patterns:
         offset = 0
-        for s in dict.fromkeys(sizes):
-            k = sizes.count(s)
+        for s, k in pattern:
             rows.append((s, used.get(s, 0), k, base, offset))
             used[s] = used.get(s, 0) + k * times
             offset += s * k

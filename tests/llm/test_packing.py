@@ -68,22 +68,70 @@ def optimum(items, capacity):
     return best[0]
 
 
+def items_of(patterns):
+    return sorted(s for pattern, times in patterns for s, k in pattern for _ in range(k * times))
+
+
+def bins_of(patterns):
+    return sum(times for _, times in patterns)
+
+
+def plain_best_fit(items, capacity):
+    rooms = []
+    for s in sorted(items, reverse=True):
+        fits = [(r, i) for i, r in enumerate(rooms) if r >= s]
+        if fits:
+            rooms[min(fits)[1]] -= s
+        else:
+            rooms.append(capacity - s)
+    return len(rooms)
+
+
 @pytest.mark.parametrize("seed", range(12))
-def test_plans_are_near_the_optimum(seed):
+def test_small_plans_are_optimal(seed):
     rng = np.random.default_rng(seed)
-    items = sorted(rng.integers(1, 30, 12).tolist(), reverse=True)
+    items = rng.integers(1, 30, 12).tolist()
     patterns = packing.bin_completion(np.bincount(items, minlength=33), 32)
-    assert sorted(s for sizes, k in patterns for s in sizes * k) == sorted(items)
-    assert all(sum(sizes) <= 32 for sizes, _ in patterns)
-    assert sum(k for _, k in patterns) <= optimum(items, 32) + (seed in ())
+    assert items_of(patterns) == sorted(items)
+    assert all(sum(s * k for s, k in pattern) <= 32 for pattern, _ in patterns)
+    assert bins_of(patterns) == optimum(sorted(items, reverse=True), 32)
+
+
+def test_search_beats_best_fit():
+    items = [6, 5, 5, 4, 4, 3, 3]  # best fit: 6+4 5+5 4+3+3; three bins of ten either way
+    items += [7, 2, 2, 2, 2, 5]
+    counts = np.bincount(items, minlength=11)
+    assert bins_of(packing.bin_completion(counts, 10)) == optimum(sorted(items, reverse=True), 10)
+    worse = [(c, o) for seed in range(300) for c in [np.bincount(np.random.default_rng(seed).integers(3, 12, 14), minlength=21)] for o in [packing.best_fit(c, 20)] if bins_of(packing.bin_completion(c, 20)) < bins_of(o)]
+    assert worse  # instances that only the search packs best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_never_worse_than_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.choice([10, 32, 100]))
+    items = rng.integers(1, capacity + 1, rng.integers(0, 60)).tolist() + [1] * int(rng.integers(0, 80))
+    counts = np.bincount(items, minlength=capacity + 1)
+    fit, plan = packing.best_fit(counts, capacity), packing.bin_completion(counts, capacity, 3000)
+    assert items_of(fit) == items_of(plan) == sorted(items)
+    assert bins_of(fit) == plain_best_fit(items, capacity)
+    assert packing.lower_bound(counts, capacity) <= bins_of(plan) <= bins_of(fit)
 
 
 def test_many_items_reach_the_bound():
     rng = np.random.default_rng(1)
     sizes = np.minimum(rng.geometric(1 / 500, 40_000), 2048)
     patterns = packing.bin_completion(np.bincount(sizes, minlength=2049), 2048)
-    assert sum(k for _, k in patterns) <= -(-int(sizes.sum()) // 2048) + 2
-    assert len(patterns) < 5000
+    assert bins_of(patterns) <= -(-int(sizes.sum()) // 2048) + 2
+    assert len(patterns) < 10_000
+
+
+def test_many_empty_texts(spark):
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, '', NULL) AS text")
+    packed = packing.pack_documents(spark, docs, FILE)
+    rows = packed.groupBy("sequence_id").agg({"offset": "max", "length": "sum"}).collect()
+    assert len(rows) == 49 and sum(r["sum(length)"] for r in rows) == 100_000
+    assert all(r["max(offset)"] == r["sum(length)"] - 1 <= 2047 for r in rows)
 
 
 def test_wrong_lengths_raise(spark):
