@@ -39,7 +39,7 @@ def test_stages_on_what_they_are_given(spark):
     # Lines: as brute force over all that was kept has it; the passage stays with one document.
     texts = {d: t for d, t, _ in lined}
     assert sum(PASSAGE in t for t in texts.values()) == 1
-    wanted = map(ast.literal_eval, test_lines.brute([(d, t) for d, t, _ in known], pipeline.lines.EVIDENCE))
+    wanted = map(ast.literal_eval, test_lines.brute([(d, t) for d, t, _ in known]))
     assert Counter((d, t) for d, t, _ in lined) == Counter((d, t) for d, t, gone in wanted if not gone or t.strip(" \t\n\v\f\r"))
 
     # Near duplicates: the smallest id of each component, and rows without an id.
@@ -70,3 +70,13 @@ def test_empty_documents(spark, tmp_path):
     spark.read.parquet(str(DOCS)).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     out = pipeline.run(spark, str(tmp_path))
     assert out.count() == 0 and "sequence_id" in out.columns
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = ("one two three four five six seven eight nine ten", "other words of a clean text that nothing else repeats", "a third text with words enough to stand alone here")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, a), (None, a), (4, ""), (4, ""), (5, None), (6, c), (7, b[:20]), (7, c[:25])]
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, key string, row int")
+    got = pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, a), (2, b), (3, c), (None, a), (None, a), (4, ""), (4, ""), (5, None), (7, b[:20]), (7, c[:25])]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
