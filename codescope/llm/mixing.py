@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from codescope.llm.common import write_through
 
-#: Blocks that a source's documents are dealt into; an epoch is an order of the blocks.
-BLOCKS = 256
+#: Blocks that a source's documents are dealt into at least, and documents in a block on average at most; an epoch is an order of the blocks.
+BLOCKS, BLOCK_ROWS = 256, 1 << 16
 #: Sources that the driver plans for; more than that raise.
 MOST_SOURCES = 100_000
 
@@ -82,12 +82,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, target_entropy: float | No
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))  # null is a source of its own
     light = own.select(key.alias("_source"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.coalesce(_words(F.col(text_col)), F.lit(1)).alias("_tokens"))
     light = light.groupBy("_source", "_id", "_hash").agg(F.max("_tokens").alias("_tokens"), F.count("*").alias("_rows"))
-    light = light.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_id", "_hash"), F.lit(BLOCKS)).cast("int"))
     light = write_through(spark, light, "mix")
-    blocks = write_through(spark, light.groupBy("_source", "_block").agg(F.sum(F.col("_tokens") * F.col("_rows")).alias("_sum")), "blocks")
-    sums = {r["_source"]: r["n"] for r in blocks.groupBy("_source").agg(F.sum("_sum").alias("n")).limit(MOST_SOURCES + 1).collect()}
+    totals = light.groupBy("_source").agg(F.sum(F.col("_tokens") * F.col("_rows")).alias("n"), F.count("*").alias("k")).limit(MOST_SOURCES + 1).collect()
+    sums = {r["_source"]: r["n"] for r in totals}
     if len(sums) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
+    dealt = spark.createDataFrame([(r["_source"], max(BLOCKS, -(-r["k"] // BLOCK_ROWS))) for r in totals], "_source string, _blocks long")
+    light = light.join(F.broadcast(dealt), "_source").withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_id", "_hash"), F.col("_blocks")).cast("int")).drop("_blocks")
+    blocks = write_through(spark, light.groupBy("_source", "_block").agg(F.sum(F.col("_tokens") * F.col("_rows")).alias("_sum")), "blocks")
     total = sum(sums.values())
     shares = {s: n / total for s, n in sums.items()}
     weights = temperature_weights(shares, fit_exponent(shares, target_entropy, repeats))
@@ -101,16 +103,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, target_entropy: float | No
 
     # The last, partial pass: blocks in the order of their hashes, up to the one where the budget ends.
     order = F.xxhash64(F.lit(seed), F.lit("pass"), "_whole", "_block")
-    line = W.partitionBy("_source").orderBy(order, "_block")  # at most BLOCKS rows a source
+    line = W.partitionBy("_source").orderBy(order, "_block")  # one row for each of a source's blocks
     cut = blocks.join(F.broadcast(plan), "_source").withColumn("_before", F.sum("_sum").over(line) - F.col("_sum"))
     cut = cut.select("_source", "_block", "mix_weight", "_whole", (F.col("_rest") - F.col("_before")).alias("_left"), "_sum")
-    met = light.join(F.broadcast(cut) if len(sums) * BLOCKS <= 100_000 else cut, ["_source", "_block"])
+    met = light.join(cut, ["_source", "_block"])
     inside = W.partitionBy("_source", "_block").orderBy(F.xxhash64(F.lit(seed), "_whole", "_id", "_hash"), "_id", "_hash")
     edge = met.where("_left > 0 AND _left < _sum").withColumn("_upto", F.sum(F.col("_tokens") * F.col("_rows")).over(inside))
     edge = edge.withColumn("_part", (F.col("_upto") <= F.col("_left")).cast("long")).drop("_upto")
     rest = met.where("NOT (_left > 0 AND _left < _sum)").withColumn("_part", (F.col("_left") >= F.col("_sum")).cast("long"))
     drawn = edge.unionByName(rest).withColumn("_times", F.col("_whole") + F.col("_part")).where("_times > 0")
     drawn = drawn.select(F.struct("_source", "_id", "_hash").alias("_key"), F.col("_tokens").alias("mix_tokens"), F.col("_block").alias("mix_block"), "mix_weight", "_times")
-    full = own.withColumn("_key", F.struct(key.alias("_source"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))).join(drawn, "_key")
-    full = full.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))))
-    return full.select(*own.columns, *added)
+    keyed = own.select(F.struct(*own.columns).alias("row"), F.struct(key.alias("_source"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).alias("_key"))
+    full = keyed.join(drawn, "_key").withColumn("mix_pass", F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))))
+    return full.select("row.*", *added)

@@ -127,6 +127,7 @@ def t_occurrence(sets: list[np.ndarray], roles: list[int], percent: int) -> Iter
 
 def _scan(words: int):
     """Per document its set's size and signature; per task the list lengths it adds."""
+    names = ["doc_id", "hash", "n", "s1", "s2", "chunk", "part"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, seen = np.zeros(ROWS * WIDTH, np.int32), set()
@@ -140,9 +141,9 @@ def _scan(words: int):
                     for at, sign in _sketched(s):
                         np.add.at(lengths, at, sign)
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "n", "s1", "s2", "chunk", "part"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["hash"], pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         for k, part in split_chunks(lengths, CHUNKS):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *[pa.array([0], pa.int64())] * 3, pa.array([k], pa.int32()), pa.array([part], pa.binary())], ["doc_id", "n", "s1", "s2", "chunk", "part"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *[pa.array([0], pa.int64())] * 4, pa.array([k], pa.int32()), pa.array([part], pa.binary())], names)
 
     return scan
 
@@ -277,24 +278,15 @@ def _search(percent: int):
     return search
 
 
-def ngram_join(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents linked by shingle sets of Jaccard ``percent``/100 or more.
-
-    Equal sets are one class from the start. Each set posts its short lists, the rarest shingles by a
-    sketch of list lengths over the whole corpus, at least ``T - L`` of which a partner shares. A pair from
-    lists of up to SHORT_LIST members is searched if it shares that many of them; members of longer lists meet in
-    tiles of bounded size, each searched with DivideSkip. Links found connect; the links left
-    out join documents that others connect already. No list, bucket or partner count is capped.
-
-    Null text counts as empty; empty sets link with nothing. A row without an id links with nothing and has
-    a null component. Repeated rows stay; all other columns are left out.
-    """
+def _classes(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, hash, n, set), ``set`` null without id or words, and (set, component_id) of sets that more than one row has or that link."""
     sc = spark.sparkContext
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    hashed = source.withColumn("hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
     with batches_of(spark, 2000):
-        scanned = write_through(spark, source.mapInArrow(_scan(words), "doc_id long, n long, s1 long, s2 long, chunk int, part binary"), "sets")
+        scanned = write_through(spark, hashed.mapInArrow(_scan(words), "doc_id long, hash long, n long, s1 long, s2 long, chunk int, part binary"), "sets")
     lengths = fold_chunks(spark, scanned.where("chunk IS NOT NULL"), CHUNKS, "int32", ROWS * WIDTH, np.add)
-    rows = scanned.where("chunk IS NULL").select("doc_id", "n", "s1", "s2")
+    rows = scanned.where("chunk IS NULL").select("doc_id", "hash", "n", "s1", "s2")
 
     postings = source.where("doc_id IS NOT NULL").select("text").mapInArrow(_short_lists(words, percent, sc.broadcast(lengths)), "list long, deal int, n long, s1 long, s2 long")
     postings = postings.repartition("list", "deal").sortWithinPartitions("list", "deal")
@@ -336,13 +328,41 @@ def ngram_join(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     linked = components(spark, ends)
     classes = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").where("copies > 1 OR component IS NOT NULL")
     classes = classes.select(F.struct("s1", "s2").alias("set"), F.coalesce("component", "class").alias("component_id"))
-    own = rows.withColumn("set", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.struct("s1", "s2")))
+    own = rows.select("doc_id", "hash", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.struct("s1", "s2")).alias("set"))
+    return own, classes
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents linked by shingle sets of Jaccard ``percent``/100 or more.
+
+    Equal sets are one class from the start. Each set posts its short lists, the rarest shingles by a
+    sketch of list lengths over the whole corpus, at least ``T - L`` of which a partner shares. A pair from
+    lists of up to SHORT_LIST members is searched if it shares that many of them; members of longer lists meet in
+    tiles of bounded size, each searched with DivideSkip. Links found connect; the links left
+    out join documents that others connect already. No list, bucket or partner count is capped.
+
+    Null text counts as empty; empty sets link with nothing. A row without an id links with nothing and has
+    a null component. Repeated rows stay; all other columns are left out.
+    """
+    own, classes = _classes(spark, docs, words, percent, id_col, text_col)
     full = salted_join(own, classes, "set", "left")
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component of ``ngram_join`` the rows of its smallest id; rows without an id stay. Columns as given."""
-    found = ngram_join(spark, docs, words, percent, id_col, text_col)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """One row of each component of ``ngram_join``: of those of its smallest id one of the least text hash. Columns as given.
+
+    Rows are known by id and text hash, so that a row whose id another, linked row repeats stays, and of rows with
+    equal id and text one stays. Rows without an id or without words link with nothing and stay as they are.
+    """
+    own, classes = _classes(spark, docs, words, percent, id_col, text_col)
+    members = salted_join(own.select("doc_id", "hash", "set"), classes, "set").groupBy("component_id", "doc_id", "hash").agg(F.count("*").alias("rows"))
+    members = write_through(spark, members, "members")
+    least = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "hash")).alias("least"))
+    fate = salted_join(members, least, "component_id").select(F.struct("doc_id", "hash").alias("key"), (F.struct("doc_id", "hash") == F.col("least")).alias("stays"), "rows")
+    fate = fate.where("NOT stays OR rows > 1").select("key", "stays")
+    key = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("hash"))
+    met = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).join(fate, "key", "left")
+    met = write_through(spark, met.where("stays IS NULL OR stays"), "kept")
+    once = met.where("stays").groupBy("key").agg(F.first("row").alias("row"))
+    return met.where("stays IS NULL").select("row.*").unionByName(once.select("row.*")).select(docs.columns)

@@ -61,3 +61,14 @@ def test_budgets_are_met(spark, monkeypatch, budget, repeats):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_sources(spark, docs).collect() == []
+
+
+def test_other_columns_may_have_any_name(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
+    names = ["_times", "_key", "_source", "_id", "_hash", "_block", "row", "_tokens", "mix_block"]
+    docs = spark.createDataFrame([(*r[:3], *names) for r in rows_of()], ["doc_id", "text", "source", *names])
+    got = mixing.mix_sources(spark, docs, repeats=2.0)
+    assert got.columns == ["doc_id", "text", "source", *names[:-1], "mix_tokens", "mix_pass", "mix_block", "mix_weight"]
+    rows = got.collect()
+    assert {r["doc_id"] for r in rows} == {r[0] for r in rows_of()}
+    assert {tuple(r[c] for c in names[:-1]) for r in rows} == {tuple(names[:-1])}
