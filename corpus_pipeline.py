@@ -23,7 +23,10 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Texts without lines of templates that an earlier document has; documents of which nothing is left go."""
     kept = lines.drop_recurring_lines(spark, docs)
     kept = kept.where(~((F.col("lines_dropped") > 0) & (F.btrim("text", F.lit(" \t\n\x0b\f\r")) == "")))
-    return kept.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("lines_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        kept = kept.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return kept.select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
