@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codescope.functions.text import let, prefix_sum
 from codescope.llm.common import write_through
 
 # The template. A turn is HEAD role SPLIT text TAIL; inside roles and texts the escaped characters get a backslash
@@ -77,8 +78,8 @@ def reply_paths(spark: SparkSession, messages: DataFrame, best: int | None = 1)
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
     """(tree, leaf, rank, formatted, loss): each path as one text, and the spans under the loss mask.
 
-    ``loss`` holds (start, length) in code points of the escaped text of each assistant turn. A formatted conversation
-    is one row, as long as its turns together.
+    ``loss`` holds (turn, start, length) of the escaped text of each assistant turn: the turn's number from 0, and code points of
+    ``formatted``. A formatted conversation is one row, as long as its turns together.
     """
     body = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
     path = paths.withColumnRenamed("tree", "_tree").withColumnRenamed("node", "_node")
@@ -89,17 +90,25 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
     rows = rows.withColumn("start", F.coalesce(before, F.lit(0)) + F.col("skip"))
     kept = F.sort_array(F.collect_list(F.struct("place", "turn", "learn", "start", "size"))).alias("turns")
     whole = rows.groupBy("tree", "leaf", "rank").agg(kept)
-    loss = F.transform(F.filter("turns", lambda t: t["learn"]), lambda t: F.struct(t["start"].alias("start"), t["size"].alias("length")))
+    spans = F.transform("turns", lambda t, i: F.when(t["learn"], F.struct(i.alias("turn"), t["start"].alias("start"), t["size"].alias("length"))))
+    loss = F.filter(spans, lambda s: s.isNotNull())
     return whole.select("tree", "leaf", "rank", F.array_join("turns.turn", "").alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``formatted`` with turns (role, text) parsed from the text and learned, the unescaped text under the loss mask."""
-    roles = F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(1))
-    texts = F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(2))
-    turns = F.transform(F.arrays_zip(roles.alias("r"), texts.alias("t")), lambda x: F.struct(unescape(x["r"]).alias("role"), unescape(x["t"]).alias("text")))
-    spans = F.transform("loss", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"])))
-    return formatted.withColumn("turns", turns).withColumn("learned", F.array_join(spans, ""))
+    """``formatted`` with turns (role, text) parsed from the text and learned, the unescaped text under the loss mask.
+
+    The text is cut at its turns once; a span of the mask is taken from its own turn, so a conversation takes time in
+    proportion to its length.
+    """
+    group = lambda g: F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(g))
+    turns = F.transform(F.arrays_zip(group(1).alias("r"), group(2).alias("t")), lambda x: F.struct(unescape(x["r"]).alias("role"), unescape(x["t"]).alias("text")))
+
+    def learned(whole: Column) -> Column:
+        ends = prefix_sum(F.transform(whole, F.length))
+        return let(ends, lambda end: F.transform("loss", lambda s: let(F.get(whole, s["turn"]), lambda own: unescape(F.substr(own, (s["start"] + 1 - F.get(end, s["turn"]) + F.length(own)).cast("int"), s["length"])))))
+
+    return formatted.withColumn("turns", turns).withColumn("learned", F.array_join(let(group(0), learned), ""))
 
 
 def conversation_digests(spark: SparkSession, turns: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ ARCHIVE_BYTES = 1 << 28
 BLOCK_LINES = 300
 #: Parts of the index, each one range of keys; the driver routes by their first keys.
 MOST_PARTS = 200_000
+#: Bytes and records that a task reads back on average at most, and bytes of an archive whose records are read by one task.
+READ_BYTES, READ_RECORDS, READ_STRETCH = 1 << 25, 4096, 1 << 18
 _DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SCHEMA = "surt string, page_id long, file string, offset long, length long"
@@ -173,7 +175,7 @@ def look_up(spark: SparkSession, urls: DataFrame, parts: DataFrame, folder: str,
 
     surt, page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]. A key goes to the parts whose range
     holds it; there the directory is searched for its blocks, each block for its lines, and only the records
-    found are read, each by its range. A key that was not captured has no row.
+    found are read, each by its range, by tasks of at most READ_RECORDS records or READ_BYTES bytes on average. A key that was not captured has no row.
     """
     ranges = parts.select("first", "last", "blocks", "directory").limit(MOST_PARTS + 1).collect()
     if len(ranges) > MOST_PARTS:
@@ -195,11 +197,11 @@ def look_up(spark: SparkSession, urls: DataFrame, parts: DataFrame, folder: str,
     names = ["surt", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload]
     types = dict(zip(["surt", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"], (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, files = sent.value, _Files(folder)
         part, entries, firsts, block, lines, keys = -1, [], [], None, [], []
         for batch in batches:
-            rows, size = [], 0
+            rows = []
             for to, key in zip(batch["part"].to_pylist(), batch["surt"].to_pylist()):
                 if to != part:
                     part, block = to, None
@@ -210,10 +212,18 @@ def look_up(spark: SparkSession, urls: DataFrame, parts: DataFrame, folder: str,
                         _, at, length = entries[k]
                         lines = [json.loads(x) for x in zlib.decompress(files.read(known[to][2], at, length), 31).splitlines()]
                         block, keys = k, [x[0] for x in lines]
-                    for line in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-                        found = parse(zlib.decompress(files.read(*line[2:]), 31)) | {"surt": key}
-                        rows.append([found[c] for c in names])
-                        size += found["payload_bytes"]
+                    rows += [(key, *line[2:]) for line in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["surt", "file", "offset", "length"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = _Files(folder)
+        for batch in batches:
+            rows, size = [], 0
+            for key, *place in zip(*(batch[c].to_pylist() for c in ("surt", "file", "offset", "length"))):
+                found = parse(zlib.decompress(files.read(*place), 31)) | {"surt": key}
+                rows.append([found[c] for c in names])
+                size += found["payload_bytes"]
                 if size > 1 << 24 and with_payload:
                     yield pa.RecordBatch.from_arrays([pa.array(c, types[n]) for n, c in zip(names, zip(*rows))], names)
                     rows, size = [], 0
@@ -222,8 +232,14 @@ def look_up(spark: SparkSession, urls: DataFrame, parts: DataFrame, folder: str,
 
     asked = urls.select(F.col(url_col).alias("url")).mapInArrow(route, "surt string, part int").distinct()
     lined = asked.repartition("part", F.pmod(F.xxhash64("surt"), F.lit(8))).sortWithinPartitions("part", "surt")
+    places = write_through(spark, lined.select("part", "surt").mapInArrow(locate, "surt string, file string, offset long, length long"), "places")
+    # Places are few bytes, whatever they stand for: they are dealt by a stated number of tasks, which the planner does not merge,
+    # and by stretches of the archives, so that the records of one key, however many, are not one task's.
+    records, size = places.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, -(-records // READ_RECORDS), -(-size // READ_BYTES))
+    dealt = places.repartition(tasks, "file", F.floor(F.col("offset") / READ_STRETCH)).sortWithinPartitions("file", "offset")
     schema = "surt string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return lined.select("part", "surt").mapInArrow(read, schema)
+    return dealt.mapInArrow(read, schema)
 
 
 def archive_and_read_back(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:

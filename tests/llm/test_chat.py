@@ -1,5 +1,8 @@
 import hashlib
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from codescope.llm import chat
 
@@ -41,3 +44,22 @@ def test_paths_of_trees(spark):
     text = {r.tree: r for r in best.collect()}
     assert text["t"].formatted == "### user: q</turn>\n### assistant: good</turn>\n### user: thanks</turn>\n"
     assert [text["t"].formatted[s.start : s.start + s.length] for s in text["t"].loss] == ["good"]
+
+
+def test_long_conversations_take_linear_time(spark):
+    def seconds(n):
+        text = "".join(f"### {'assistant' if k % 2 else 'user'}: w{k}</turn>\n" for k in range(n))
+        spans, at = [], 0
+        for k in range(n):
+            head, size = len(f"### {'assistant' if k % 2 else 'user'}: "), len(f"w{k}")
+            spans += [(k, at + head, size)] * (k % 2)
+            at += head + size + len("</turn>\n")
+        row = spark.createDataFrame([(text, spans)], "formatted string, loss array<struct<turn:int,start:bigint,length:int>>")
+        start = time.perf_counter()
+        found = chat.read_back(row).select(F.sha2("learned", 256).alias("h"), F.size("turns").alias("n")).first()
+        assert (found["n"], found["h"]) == (n, sha("".join(f"w{k}" for k in range(1, n, 2))))
+        return time.perf_counter() - start
+
+    seconds(10)
+    small, large = seconds(5000), seconds(40_000)
+    assert large < 5 + 16 * small

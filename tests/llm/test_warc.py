@@ -5,6 +5,8 @@ from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from codescope.llm import warc
 
 
@@ -56,3 +58,14 @@ def test_keys_and_empty_table(spark):
     assert warc.surt("https://example.com") == "com,example)/" and warc.surt(None) == ")/"
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_and_read_back(spark, empty).collect() == []
+
+
+def test_one_key_is_read_back_by_many_tasks(spark, monkeypatch):
+    """Every capture has the same key; the planner does not merge the tasks that read."""
+    for name, value in (("READ_RECORDS", 50), ("READ_STRETCH", 1000)):
+        monkeypatch.setattr(warc, name, value)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    pages = spark.createDataFrame([(k, None, f"<p>{k}</p>") for k in range(600)], "page_id long, url string, html string")
+    got = warc.archive_and_read_back(spark, pages)
+    tasks = got.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == 600 and len(tasks) >= 6 and max(r["count"] for r in tasks) <= 200
