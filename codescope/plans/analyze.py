@@ -12,7 +12,7 @@ from ..functions.paths import name_of
 from ..operators import cache as C
 from ..operators import report as R
 from ..operators.directories import CODE_IDENTIFIERS, code_directories, in_code_directory
-from ..operators.errors import with_errors
+from ..operators.errors import BAD_TEXT, with_errors
 from ..operators.extract import analysis, explode_analysis
 from ..operators.gitignore import RULE_FILES, ignore_rules, unignored_paths
 from ..operators.languages import LANGUAGES, LanguageExtractor
@@ -22,7 +22,7 @@ from ..schema import CACHE
 from ..scratch import write_through
 from ..sources.manifests import packages
 from ..sources.tables import text_content
-from ..sources.tree import list_source_tree, read_contents
+from ..sources.tree import list_source_tree, read_contents, rules_above
 
 
 def collect_code_files(
@@ -57,7 +57,7 @@ def collect_from_table(files: DataFrame, **options) -> DataFrame:
     keys = write_through(files.sparkSession, files.select("path", "last_modified"), "listing")
     rules = files.filter(name_of(F.col("path")).isin(*RULE_FILES))
     chosen = collect_code_files(keys, rules, **options).select("path")
-    return code_files(files).join(chosen, "path", "left_semi")
+    return code_files(files, options.get("languages", LANGUAGES)).join(chosen, "path", "left_semi")
 
 
 @dataclass
@@ -94,20 +94,23 @@ def analyze_tree(
     only changed files are ever read. What later steps read more than once (listing,
     chosen paths, fresh analyses) is written first.
 
-    A file that cannot be read or analysed is an error row. All good files are analysed, summarised and
+    Rule files in the directories above the root count as well. A file that cannot be read or analysed, a rule file or
+    manifest that is no text included, is an error row. All good files are analysed, summarised and
     cached before a run with ``on_error="fail"`` raises; ``"quarantine"`` returns with the rows in
     ``errors``. The cache is keyed by path, time and a fingerprint of model, body mode and
     languages, and a result never holds an entry of another key.
     """
     root = root.rstrip("/") or "/"
     listing = write_through(spark, list_source_tree(spark, root), "listing")
-    rules = _as_text(read_contents(listing.filter(F.col("name").isin(*RULE_FILES))))
+    found = read_contents(listing.filter(F.col("name").isin(*RULE_FILES))).select("path", "content", "io_error")
+    rules, bad_rules = _as_text(spark, found.unionByName(rules_above(spark, root, RULE_FILES)), "rules")
     chosen = write_through(
         spark, distinct_files(collect_code_files(listing, rules, custom_ignore, root=root, languages=languages)), "chosen"
     )
     if chosen.select("path").isEmpty():
         return None
-    manifests = _as_text(read_contents(listing.filter(F.col("rel_path").isin("package.json", "Cargo.toml"))))
+    named = listing.filter(F.col("rel_path").isin("package.json", "Cargo.toml"))
+    manifests, bad_manifests = _as_text(spark, read_contents(named).select("path", "content", "io_error"), "manifests")
 
     asked = model if summarizer is not None else None
     fingerprint = F.lit(repr((asked, body_mode, [lang.name for lang in languages])))
@@ -118,7 +121,7 @@ def analyze_tree(
     changed = with_errors(read_contents(C.cache_misses(chosen, cache)), languages)
     found = F.when(F.col("error").isNull(), analysis(body_mode=body_mode, languages=languages))
     tried = write_through(spark, changed.select("path", "last_modified", "fingerprint", found.alias("analysis"), "error"), "fresh")
-    errors = tried.filter("error IS NOT NULL").select("path", "error.*")
+    errors = tried.filter("error IS NOT NULL").select("path", "error.*").unionByName(bad_rules).unionByName(bad_manifests)
     fresh = tried.filter("error IS NULL").select(columns)
     log = None
     if summarizer is not None:
@@ -132,9 +135,11 @@ def analyze_tree(
     return Run(analyses, documentation_files(listing), packages(manifests, root), log, errors)
 
 
-def _as_text(files: DataFrame) -> DataFrame:
-    """Rule files and manifests as text; those that are not text are left out."""
-    return text_content(files).filter("content IS NOT NULL").drop("io_error")
+def _as_text(spark: SparkSession, files: DataFrame, purpose: str) -> tuple[DataFrame, DataFrame]:
+    """Rule files or manifests as text, and (path, kind, message) of those that cannot be read or are not text."""
+    read = write_through(spark, text_content(files), purpose)
+    message = F.coalesce("io_error", F.lit(BAD_TEXT)).alias("message")
+    return read.filter("content IS NOT NULL").drop("io_error"), read.filter("content IS NULL").select("path", F.lit("IoError").alias("kind"), message)
 
 
 def with_summaries(

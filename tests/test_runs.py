@@ -151,3 +151,85 @@ def test_prompts_are_shared_out(spark):
     rows = spark.createDataFrame([(f"f{i}.rs", "rust", 1, f"f{i}", f"fn f{i} ()", "b", 9) for i in range(64)], "path string, language string, ord int, name string, signature string, body string, lines_of_code int")
     seen = rows.select(F.col("name").alias("prompt_id"), F.col("body").alias("prompt")).repartition(5, "prompt_id")
     assert answer_prompts(seen, lambda p: [""] * len(p)).rdd.getNumPartitions() == 5
+
+
+def test_wide_levels_are_many_tasks(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"d{k}/e").mkdir(parents=True)
+        (tmp_path / f"d{k}/e/f.py").write_text("x")
+    rows = list_source_tree(spark, str(tmp_path), slices=4)
+    assert sorted(r["rel_path"] for r in rows.collect()) == sorted(f"d{k}/e/f.py" for k in range(40))
+    tasks = {os.path.dirname(f): 0 for f in rows.inputFiles()}
+    assert len(tasks) >= 3 and len(rows.inputFiles()) > 10  # rounds, and tasks in them
+    assert list_source_tree(spark, str(tmp_path / "absent")).collect() == []
+
+
+def test_reads_are_dealt_by_bytes(spark, tree, monkeypatch):
+    from codescope.sources import tree as source
+
+    monkeypatch.setattr(source, "_TASK_BYTES", 16)
+    listing = list_source_tree(spark, str(tree))
+    size = sum(len(t) for t in TREE.values())
+    assert read_contents(listing).rdd.getNumPartitions() == max(-(-size // 16), 4)
+
+
+def test_rule_files_above_the_root_and_bad_ones(spark, tmp_path):
+    root = tmp_path / "up/root"
+    (root / "sub").mkdir(parents=True)
+    (tmp_path / "up/.gitignore").write_text("gone.py\n/root/sub/\n")
+    for name in ("Cargo.toml", "a.py", "gone.py", "sub/b.py"):
+        (root / name).write_text("import a\n")
+    run = analyze_tree(spark, str(root))
+    assert [os.path.relpath(r["path"], root) for r in run.analyses.collect()] == ["a.py"]
+    (root / ".ignore").write_bytes(b"\xff\xfe")
+    with pytest.raises(ValueError, match="valid UTF-8"):
+        analyze_tree(spark, str(root))
+    run = analyze_tree(spark, str(root), on_error="quarantine")
+    assert [(os.path.relpath(r["path"], root), r["kind"]) for r in run.errors.collect()] == [(".ignore", "IoError")]
+
+
+def test_own_languages_from_a_table(spark):
+    go = replace(PYTHON, name="go", suffixes=(".go",))
+    files = spark.createDataFrame([("p/Cargo.toml", 1, ""), ("p/a.go", 1, "import fmt\n"), ("p/b.py", 1, "")], "path string, last_modified bigint, content string")
+    got = collect_from_table(files, languages=(*LANGUAGES, go)).select("path").collect()
+    assert sorted(r["path"] for r in got) == ["p/a.go", "p/b.py"]
+
+
+def test_streamed_tree_reads_edits_once(spark, tmp_path):
+    from codescope.streaming.tree_source import stream_source_tree
+
+    root, listings, state, out = (str(tmp_path / n) for n in ("root", "listings", "state", "out"))
+    os.makedirs(f"{root}/p")
+    put = lambda name, text: open(f"{root}/{name}", "w").write(text)
+    put("a.py", "import a\n"), put("p/b.py", "import b\n"), put("c.md", "no\n")
+
+    def run():
+        stream = stream_source_tree(spark, root, listings, suffixes=(".py",))
+        snapshots.stream_analyze(stream, out, state).awaitTermination()
+        return sorted((os.path.relpath(r["path"], root), r["analysis"]["imports"][0]) for r in spark.read.parquet(out).select("path", "analysis").collect())
+
+    assert run() == [("a.py", "a"), ("p/b.py", "b")]
+    assert run() == [("a.py", "a"), ("p/b.py", "b")]  # nothing changed: no row
+    put("a.py", "import edited\n"), put("new.py", "import n\n")
+    os.utime(f"{root}/a.py", (2e9, 2e9))
+    assert run() == [("a.py", "a"), ("a.py", "edited"), ("new.py", "n"), ("p/b.py", "b")]
+    assert len([f for f in os.listdir(listings) if f.endswith(".parquet")]) <= 2
+
+
+def test_listings_replay_the_same_files(tmp_path):
+    from codescope.streaming.tree_source import TreeStreamReader
+
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "a.py").write_text("1")
+    reader = TreeStreamReader({"path": str(root), "listings": str(tmp_path / "l")})
+    one = reader.latestOffset()
+    assert reader.latestOffset() == one
+    (root / "b.py").write_text("2")
+    two = reader.latestOffset()
+    again = TreeStreamReader({"path": str(root), "listings": str(tmp_path / "l")})  # after a restart
+    paths = lambda r, a, b: [os.path.basename(p) for part in r.partitions(a, b) for p, _ in part.files]
+    assert paths(reader, one, two) == paths(again, one, two) == ["b.py"]
+    assert paths(again, reader.initialOffset(), two) == ["a.py", "b.py"]
+    again.commit(two)
+    assert again.latestOffset() == two
