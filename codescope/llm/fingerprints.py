@@ -10,8 +10,10 @@ from codescope.llm.common import write_through
 
 #: Samples in a signature; the error of a likeness is about sqrt(J (1 - J) / SAMPLES).
 SAMPLES = 64
+#: Samples that one row of a term draws: more of them make an aggregation that the JVM does not compile.
+DRAWN = 8
 #: Documents per stretch of ids on average, which one window holds to find each document's successor, and stretches at most.
-STRETCH, STRETCHES = 4096, 8192
+STRETCH, STRETCHES = 512, 8192
 #: Parts (a power of two) that the rows of one frequent id, or without id, are dealt into.
 PARTS_OF_ID = 1024
 #: Words of a text: stretches without white space of ASCII.
@@ -52,10 +54,15 @@ def signatures(texts: DataFrame, keys: list[str], columns: list[str], samples: i
     counts = [F.count_if(F.col("_which") == n).alias(f"_n{n}") for n in range(len(columns))]
     terms = words.groupBy(*keys, F.xxhash64("_word").alias("_term")).agg(*counts)
     weights = [F.log(F.nullif(f"_n{n}", F.lit(0)).cast("double")).alias(f"_w{n}") for n in range(len(columns))]
-    drawn = [F.min(_sample(k, "_term", f"_w{n}")).alias(f"_s{n}_{k}") for k in range(samples) for n in range(len(columns))]
-    least = terms.select(*keys, "_term", *weights).groupBy(*keys).agg(*drawn)
-    short = lambda n: F.array(*(F.expr(f"cast((xxhash64(_s{n}_{k}) & 65535) - 32768 as smallint)") for k in range(samples)))
-    return least.select(*keys, *(F.when(F.col(f"_s{n}_0").isNotNull(), short(n)).alias(c) for n, c in enumerate(columns)))
+    # Each term's row is repeated for groups of samples, whose aggregation is small enough to be compiled.
+    each = min(DRAWN, samples)
+    terms = terms.select(*keys, "_term", *weights).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // each) - 1)))).withColumn("_seed", F.xxhash64("_term", "_group"))
+    drawn = [F.min(_sample(k, "_seed", f"_w{n}")).alias(f"_s{n}_{k}") for k in range(each) for n in range(len(columns))]
+    least = terms.groupBy(*keys, "_group").agg(*drawn)
+    short = lambda n: F.array(*(F.expr(f"cast((xxhash64(_s{n}_{k}) & 65535) - 32768 as smallint)") for k in range(each)))
+    parts = least.select(*keys, F.struct("_group", *(F.when(F.col(f"_s{n}_0").isNotNull(), short(n)).alias(f"_p{n}") for n in range(len(columns)))).alias("_part"))
+    whole = parts.groupBy(*keys).agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
+    return whole.select(*keys, *(F.slice(F.flatten(F.col("_parts")[f"_p{n}"]), 1, samples).alias(c) for n, c in enumerate(columns)))
 
 
 def likeness(one: Column, two: Column, samples: int = SAMPLES) -> Column:
@@ -75,7 +82,7 @@ def _stretch(own: DataFrame) -> Column:
     Quantiles of the ids cut them into stretches of about equal numbers of rows, however they are spread. Rows of an id that
     fills a stretch, like those without id, are dealt by their text's hash.
     """
-    shares = [k / STRETCHES for k in range(1, STRETCHES)]
+    shares = F.split(F.lit(",".join(str(k / STRETCHES) for k in range(1, STRETCHES))), ",").cast("array<double>")
     n, cuts = own.agg(F.count("*"), F.percentile_approx("doc_id", shares, 100_000)).first()
     cuts = (cuts or [])[:: max(1, -(-STRETCH * STRETCHES // max(n, 1)))]
     heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
