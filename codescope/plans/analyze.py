@@ -129,7 +129,7 @@ def analyze_tree(
         fresh = write_through(spark, fresh, "summarised")
     analyses = fresh.unionByName(hits)
     if cache_path:
-        C.write_analysis_cache(C.next_cache(analyses, cache, languages=languages), cache_path)
+        C.append_analysis_cache(C.next_cache(fresh, cache, evict=True, languages=languages), cache_path)
     if on_error == "fail" and (first := errors.orderBy("path").head(1)):
         raise ValueError(": ".join(first[0]))
     return Run(analyses, documentation_files(listing), packages(manifests, root), log, errors)

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +100,58 @@ def test_unfinished_cache_version_is_not_read(spark, files, tmp_path):
     assert cache.read_analysis_cache(spark, str(where)).count() == 4
 
 
+def entries(spark, where):
+    return sorted((r["path"], r["last_modified"]) for r in cache.read_analysis_cache(spark, where).collect())
+
+
+def test_cache_deltas(spark, files, tmp_path):
+    where = str(tmp_path / "cache")
+    full = extract.assemble_analysis(files).select("path", "last_modified", F.lit("v").alias("fingerprint"), "analysis")
+    at = lambda path, t: full.filter(F.col("path") == path).withColumn("last_modified", F.lit(t).cast("bigint"))
+    assert cache.append_analysis_cache(full, where) == 1
+    before = entries(spark, where)
+    assert len(before) == full.count()
+    # A run without changes writes no row and no commit; a changed file is one row of one delta.
+    assert cache.append_analysis_cache(full.limit(0), where) is None and entries(spark, where) == before
+    assert cache.append_analysis_cache(at("a.py", 5), where) == 2
+    assert cache.append_analysis_cache(at("a.py", 6), where, removed=full.filter("path = 'c.rs'").select("path")) == 3
+    after = sorted((p, 6 if p == "a.py" else t) for p, t in before if p != "c.rs")
+    assert entries(spark, where) == after
+    rows = [spark.read.parquet(str(d)).count() for d in (tmp_path / "cache").glob("data-*")]
+    assert sorted(rows) == sorted([len(before), 0, 1, 2])
+    assert cache.compact_analysis_cache(spark, where) == 4 and entries(spark, where) == after
+    assert cache.compact_analysis_cache(spark, where) is None
+    assert cache.append_analysis_cache(at("c.rs", 9), where) == 5
+    assert entries(spark, where) == sorted([*after, ("c.rs", 9)])
+
+
+def test_two_writers_never_share_a_version(spark, files, tmp_path):
+    where = str(tmp_path / "cache")
+    log = cache._Log(spark, where)
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda k: log.add({"kind": "delta", "data": f"d{k}"}), range(24)))
+    assert sorted(numbers) == list(range(1, 25)) == log.numbers()
+    assert sorted(log.read(n)["data"] for n in numbers) == sorted(f"d{k}" for k in range(24))
+    assert not log.put(7, {"kind": "base"})
+
+
+def test_deltas_during_a_compaction_are_kept(spark, files, tmp_path, monkeypatch):
+    where = str(tmp_path / "cache")
+    full = extract.assemble_analysis(files).select("path", "last_modified", "analysis")
+    cache.append_analysis_cache(full, where)
+    write = cache._write_data
+
+    def slow(rows, path):
+        name = write(rows, path)
+        monkeypatch.setattr(cache, "_write_data", write)
+        cache.append_analysis_cache(full.limit(1).withColumn("last_modified", F.lit(77).cast("bigint")), where)  # another writer
+        return name
+
+    monkeypatch.setattr(cache, "_write_data", slow)
+    assert cache.compact_analysis_cache(spark, where) == 3
+    assert sum(t == 77 for _, t in entries(spark, where)) == 1 and len(entries(spark, where)) == full.count()
+
+
 def test_fingerprint_joins_the_key(files):
     old = files.select("path", "last_modified", F.lit("v1").alias("fingerprint"))
     assert cache.cache_misses(files.withColumn("fingerprint", F.lit("v2")), old).count() == 4
