@@ -304,3 +304,37 @@ def test_rollups(spark, files):
     docs, code = (spark.createDataFrame([(p,) for p in ps], "path string") for ps in (["a/x.md", "r.md"], ["a/y.py"]))
     cover = sorted(tuple(r) for r in rollups.documentation_coverage(docs, code).collect())
     assert cover == [("", 1, 0), ("a", 1, 1)]
+
+
+def blocks_of(spark, n):
+    rows = [(6, f"p{k:04d}.py", f"## p{k:04d}.py\n\nü {k}\n\r\n\n") for k in range(n)] + [(0, "", "# Code Summary\n\n")]
+    return spark.createDataFrame(rows, "section_ord int, path string, text string").repartition(7)
+
+
+def test_report_is_published_whole(spark, tmp_path):
+    from codescope.sources import report_sink
+
+    target = str(tmp_path / "out/report.md")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables, yet several parts
+    report_sink.publish_report(blocks_of(spark, 300), target)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+    def read():
+        rows = sorted((r["number"], r["line"]) for r in report_sink.read_report(spark, target).collect())
+        assert [n for n, _ in rows] == list(range(1, len(rows) + 1))
+        return "".join(line + "\n" for _, line in rows)
+
+    want = lambda n: "".join(r["text"] for r in blocks_of(spark, n).orderBy("section_ord", "path").collect())
+    assert read() == want(300)
+    assert len(report_sink._manifest(target)) > 1
+
+    # A task fails: nothing of that attempt is left, the report is as it was.
+    bad = blocks_of(spark, 50).withColumn("text", F.when(F.col("path") == "p0040.py", F.raise_error(F.lit("no"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="no"):
+        report_sink.publish_report(bad, target)
+    assert read() == want(300)
+    assert len(list((tmp_path / "out/report.md").glob("parts-*"))) == 1
+    report_sink.publish_report(blocks_of(spark, 20), target)
+    assert read() == want(20) and len(list((tmp_path / "out/report.md").glob("parts-*"))) == 1
+    report_sink.publish_report(blocks_of(spark, 20).limit(0), target)
+    assert read() == ""

@@ -40,9 +40,11 @@ FROM documents""",
     "tree_files": """
 SELECT path, last_modified, content FROM code_files
 UNION ALL SELECT concat(project, '/README.md'), CAST(1704067200 AS BIGINT), concat('# ', project) FROM (SELECT DISTINCT project FROM code_files) a
-UNION ALL SELECT concat(project, '/package.json'), CAST(1704067200 AS BIGINT), concat('{"name": "npm-', project, '", "version": "1.0.', CAST(length(project) AS STRING), '"}') FROM (SELECT DISTINCT project FROM code_files) b WHERE project LIKE '%1' OR project LIKE '%2'
-UNION ALL SELECT concat(project, '/Cargo.toml'), CAST(1704067200 AS BIGINT), replace(concat('[package]~name = "crate-', project, '"~version = "0.1.0"~~[dependencies]~name = "decoy"~'), '~', chr(10)) FROM (SELECT DISTINCT project FROM code_files) c WHERE project LIKE '%2' OR project LIKE '%3'
-UNION ALL SELECT concat(project, '/.gitignore'), CAST(1704067200 AS BIGINT), replace('# comment~pkg4/~!pkg4/keep.py~m*7.*~!*17.py~*.log~', '~', chr(10)) FROM (SELECT DISTINCT project FROM code_files) d WHERE project LIKE '%3'""",
+UNION ALL SELECT concat(project, '/package.json'), CAST(1704067200 AS BIGINT), concat('{"name": "', CASE WHEN project LIKE '%12' THEN 'both' ELSE concat('npm-', project) END, '", "version": "1.0.', CAST(length(project) AS STRING), '"}') FROM (SELECT DISTINCT project FROM code_files) b WHERE project LIKE '%1' OR project LIKE '%2'
+UNION ALL SELECT concat(project, '/Cargo.toml'), CAST(1704067200 AS BIGINT), replace(concat('[package]~name = "', CASE WHEN project LIKE '%12' THEN 'both' ELSE concat('crate-', project) END, '"~version = "0.1.0"~~[dependencies]~name = "decoy"~'), '~', chr(10)) FROM (SELECT DISTINCT project FROM code_files) c WHERE project LIKE '%2' OR project LIKE '%3'
+UNION ALL SELECT concat(project, '/.gitignore'), CAST(1704067200 AS BIGINT), replace('# comment~pkg4/~!pkg4/keep.py~m*7.*~!*17.js~*.log~', '~', chr(10)) FROM (SELECT DISTINCT project FROM code_files) d WHERE project LIKE '%3' OR project LIKE '%4' OR project LIKE '%7'
+UNION ALL SELECT concat(project, '/pkg0/setup.py'), CAST(1704067200 AS BIGINT), '' FROM (SELECT DISTINCT project FROM code_files) e WHERE project LIKE '%5' OR project LIKE '%2'
+UNION ALL SELECT concat(project, '/target/Cargo.toml'), CAST(1704067200 AS BIGINT), '' FROM (SELECT DISTINCT project FROM code_files) f WHERE project LIKE '%6'""",
     "analysis_cache": """
 SELECT path, CASE WHEN doc_id % 10 = 0 THEN last_modified - 1 ELSE last_modified END AS last_modified, concat('cached:', path) AS payload
 FROM code_files WHERE doc_id % 17 <> 0
@@ -55,13 +57,17 @@ SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'generate' ELSE 'chat' END
        WHEN conv_id % 2 = 0 THEN concat('{"response": "', role, ' ', CAST(turn AS STRING), '"}')
        ELSE concat('{"choices": [{"message": {"content": "', role, ' ', CAST(turn AS STRING), '"}}]}') END AS body
 FROM conversations""",
+    "bad_files": """
+SELECT path, content, CASE doc_id % 40 WHEN 3 THEN 'Permission denied' ELSE NULL END AS io_error, doc_id % 40 = 4 AS broken,
+  concat(content, CASE WHEN doc_id % 40 = 7 THEN 'fn open() { [' ELSE '' END) AS text FROM code_files
+UNION ALL SELECT path, content, NULL, false, content FROM tree_files WHERE path LIKE '%.md' OR path LIKE '%.json'""",
     "file_snapshots": """
 SELECT path, last_modified, content FROM code_files
 UNION ALL SELECT path, last_modified + 3600, concat(content, 'x', chr(10)) FROM code_files WHERE doc_id % 3 = 0
 UNION ALL SELECT path, last_modified, content FROM code_files WHERE doc_id % 7 = 0""",
 }
 
-USES = {"tree_files": ("code_files",), "analysis_cache": ("code_files",), "file_snapshots": ("code_files",)}
+USES = {"bad_files": ("code_files", "tree_files"), "tree_files": ("code_files",), "analysis_cache": ("code_files",), "file_snapshots": ("code_files",)}
 
 
 def with_clause(*names: str) -> str:

@@ -158,12 +158,14 @@ FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(head
 SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM tree_files
 WHERE regexp_matches(path, '/(Cargo\.toml|package\.json|setup\.py|requirements\.txt)$')
   AND NOT regexp_matches(regexp_extract(path, '^(.*)/[^/]*$', 1), '{IGNORED}')""",
-    "packages": r"""
-SELECT concat(project, '/', kind) AS manifest, concat(prefix, project) AS name, version FROM (
-  SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS project, regexp_extract(path, '[^/]*$') AS kind,
-    CASE WHEN path LIKE '%.json' THEN 'npm-' ELSE 'crate-' END AS prefix,
-    CASE WHEN path LIKE '%.json' THEN regexp_extract(content, '"version": "([^"]*)"', 1) ELSE '0.1.0' END AS version
-  FROM tree_files WHERE path LIKE '%/package.json' OR path LIKE '%/Cargo.toml')""",
+    "manifests": r"""
+SELECT path AS manifest, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory,
+  CASE WHEN path LIKE '%.json' THEN regexp_extract(content, '"name": "([^"]*)"', 1) ELSE regexp_extract(content, 'name = "([^"]*)"', 1) END AS name,
+  CASE WHEN path LIKE '%.json' THEN regexp_extract(content, '"version": "([^"]*)"', 1) ELSE regexp_extract(content, 'version = "([^"]*)"', 1) END AS version
+FROM tree_files WHERE path LIKE '%/package.json' OR path LIKE '%/Cargo.toml'""",
+    "packages": "SELECT manifest, name, version FROM manifests WHERE name <> '' AND version <> ''",
+    "last_packages": """
+SELECT name, arg_max(version, concat(CASE WHEN manifest LIKE '%.toml' THEN '1' ELSE '0' END, manifest)) AS version FROM packages GROUP BY name""",
     "prompts": f"""
 SELECT path, language, ord, concat(
   CASE WHEN lines_of_code > 200 AND language = 'rust' THEN 'Summarize this large Rust function:'
@@ -198,7 +200,7 @@ _NEEDS = {
     "all_functions": ["py_functions", "js_functions", "rust_functions"],
     "all_imports": ["py_imports", "js_imports", "rust_imports"], "all_types": ["py_types", "js_types", "rust_types"],
     "all_exports": ["js_exports", "rust_exports"], "asked": ["all_functions"], "dirs": ["tree_files"],
-    "packages": ["tree_files"], "prompts": ["all_functions"],
+    "manifests": ["tree_files"], "packages": ["manifests"], "last_packages": ["packages"], "prompts": ["all_functions"],
     "file_lists": ["all_imports", "all_functions", "all_types", "all_exports"], "function_counts": ["all_functions"],
 }
 
@@ -237,7 +239,7 @@ REPORT = f"""
   UNION ALL SELECT 1, '', '## Documentation Files'
   UNION ALL SELECT 2, path, concat('- ', path) FROM tree_files WHERE regexp_matches(path, '\\.(md|txt|rst)$')
   UNION ALL SELECT 3, '', concat({NL}, '## Package Information')
-  UNION ALL SELECT 4, name, concat('- ', name, ': ', version) FROM packages
+  UNION ALL SELECT 4, name, concat('- ', name, ': ', version) FROM last_packages
   UNION ALL SELECT 5, '', concat({NL}, '## Code Analysis')
   UNION ALL SELECT 6, path, concat('## ', path, {NL}, {NL},
     coalesce((SELECT concat('**Imports:**', {NL}, string_agg(concat('- ', import, {NL}), '' ORDER BY ord), {NL}) FROM all_imports a WHERE a.path = c.path HAVING count(*) > 0), ''),
@@ -252,9 +254,9 @@ SELECT section_ord, path, CAST(unnest(generate_series(0, len(string_split(text,
   unnest(string_split(text, {NL})) AS line FROM blocks"""
 
 GITIGNORE = r"""
-SELECT path FROM tree_files WHERE NOT (regexp_matches(path, '^[^/]*3/') AND (
+SELECT path FROM tree_files WHERE NOT (regexp_matches(path, '^[^/]*[347]/') AND (
   regexp_matches(path, '/pkg4/') OR regexp_matches(path, '\.log$')
-  OR (regexp_matches(path, '/m[^/]*7\.[^/]*$') AND NOT regexp_matches(path, '17\.py$'))))"""
+  OR (regexp_matches(path, '/m[^/]*7\.[^/]*$') AND NOT regexp_matches(path, '17\.js$'))))"""
 
 INSIDE = "EXISTS (SELECT 1 FROM dirs d WHERE starts_with(t.path, concat(d.dir, '/')))"
 
@@ -333,11 +335,11 @@ SELECT path, ord, CAST((n - 1) // 5 + 1 AS BIGINT) AS part, string_agg(line, {NL
         ),
         "npm_packages": sql("SELECT manifest, name, version FROM packages WHERE manifest LIKE '%.json'", "packages"),
         "cargo_packages": sql("SELECT manifest, name, version FROM packages WHERE manifest LIKE '%.toml'", "packages"),
-        "last_wins_packages": sql("SELECT name, version FROM packages", "packages"),
+        "last_wins_packages": sql("SELECT name, version FROM last_packages", "last_packages"),
         "project_name": sql(
-            """SELECT directory, coalesce(max(name) FILTER (WHERE manifest LIKE '%.toml'), max(name)) AS project_name
-FROM (SELECT *, regexp_extract(manifest, '^(.*)/', 1) AS directory FROM packages) GROUP BY directory""",
-            "packages",
+            """SELECT directory, coalesce(max(nullif(name, '')) FILTER (WHERE manifest LIKE '%.toml'), max(nullif(name, '')), regexp_extract(directory, '[^/]*$')) AS project_name
+FROM manifests GROUP BY directory""",
+            "manifests",
         ),
         "cache_hits": sql(
             "SELECT path, f.last_modified, payload FROM code_files f JOIN analysis_cache c USING (path, last_modified)",
@@ -370,9 +372,32 @@ FROM file_snapshots LEFT JOIN function_counts USING (path) GROUP BY path""",
             "file_lists",
         ),
         "analysis_errors": sql(
-            f"""SELECT path, 'AnalysisError' AS kind, concat('No suitable analyzer found for file: ', path) AS message
-FROM tree_files WHERE ({LANGUAGE}) IS NULL""",
-            "tree_files",
+            f"""SELECT path, 'AnalysisError' AS kind, concat('No suitable analyzer found for file: ', path) AS message FROM bad_files WHERE ({LANGUAGE}) IS NULL
+UNION ALL SELECT path, 'IoError', io_error FROM bad_files WHERE ({LANGUAGE}) IS NOT NULL AND io_error IS NOT NULL
+UNION ALL SELECT path, 'IoError', 'stream did not contain valid UTF-8' FROM bad_files WHERE broken
+UNION ALL SELECT path, 'AnalysisError', 'unbalanced brackets' FROM bad_files WHERE text <> content""",
+            "bad_files",
+        ),
+        "files_from_table": sql("SELECT path, last_modified, md5(content) AS content_md5 FROM code_files", "code_files"),
+        "require_nonempty": sql(r"SELECT count(*) > 0 AS nonempty FROM tree_files WHERE regexp_matches(path, '[^/]\.(rs|js|ts|py)$')", "tree_files"),
+        "read_source_tree": sql(
+            "SELECT path AS rel_path, CAST(octet_length(encode(content)) AS BIGINT) AS length, md5(content) AS content_md5 FROM tree_files", "tree_files"
+        ),
+        "analysis_cache_log": sql(
+            """SELECT path, last_modified + CASE WHEN doc_id % 7 = 0 THEN 120 WHEN doc_id % 3 = 0 THEN 60 ELSE 0 END AS last_modified, coalesce(n, 0) AS functions
+FROM code_files LEFT JOIN function_counts USING (path)
+WHERE doc_id % 7 = 0 OR doc_id % 3 = 0 OR (doc_id % 17 <> 0 AND doc_id % 10 <> 0)""",
+            "code_files", "function_counts",
+        ),
+        "write_report": sql(
+            REPORT.replace("SELECT section_ord, path, CAST", "SELECT row_number() OVER (ORDER BY section_ord, path, ord) AS number, line FROM (SELECT section_ord, path, CAST") + ")",
+            "last_packages", "all_imports", "all_functions", "all_types", "all_exports",
+        ),
+        "own_language": sql(
+            """SELECT path, language, ord, import FROM all_imports
+UNION ALL SELECT path, 'toml', 1, regexp_extract(content, 'name = "([^"]*)"', 1) FROM tree_files WHERE path LIKE '%.toml' AND content <> ''
+UNION ALL SELECT path, 'toml', 2, 'decoy' FROM tree_files WHERE path LIKE '%.toml' AND content <> ''""",
+            "all_imports", "tree_files",
         ),
         "call_metrics": sql(
             "SELECT call_id, CAST(input_tokens + output_tokens AS BIGINT) AS total_tokens, "
@@ -390,7 +415,7 @@ FROM inference_log GROUP BY model""",
             "SELECT path, ord, CASE WHEN language = 'rust' OR lines_of_code > 6 THEN signature END AS summary FROM all_functions",
             "all_functions",
         ),
-        "render_report": sql(REPORT, "packages", "all_imports", "all_functions", "all_types", "all_exports"),
+        "render_report": sql(REPORT, "last_packages", "all_imports", "all_functions", "all_types", "all_exports"),
         "language_rollup": sql(
             """SELECT language, count(DISTINCT path) AS files, count(*) AS functions, CAST(sum(lines_of_code) AS BIGINT) AS sum_loc,
   max(lines_of_code) AS max_loc, round(avg(lines_of_code), 6) AS avg_loc, CAST(sum(cyclomatic_complexity) AS BIGINT) AS sum_complexity,

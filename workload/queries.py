@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +15,11 @@ from codescope.operators import (
     cache, directories, errors, extract, gitignore, metrics, report, rollups, selection, summarize,
 )
 from codescope.operators import prompts as prompt_tables
-from codescope.operators.languages import JAVASCRIPT, PYTHON, RUST
+from codescope.operators.languages import JAVASCRIPT, LANGUAGES, PYTHON, RUST
 from codescope.plans import analyze
 from codescope.schema import ANALYSIS
-from codescope.scratch import scratch_folder
-from codescope.sources import manifests
+from codescope.scratch import scratch_folder, write_through
+from codescope.sources import manifests, report_sink, tables, tree
 from codescope.streaming import snapshots
 
 from .fixtures import base_table, fixture
@@ -171,8 +174,75 @@ def _in_code_directory(tree: DataFrame) -> DataFrame:
     return directories.in_code_directory(paths, directories.code_directories(paths))
 
 
+def _analysis_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text").cast("binary")
+    content = F.when(F.col("broken"), F.concat(text, F.lit(bytearray(b"\xff")))).otherwise(text)
+    return errors.analysis_errors(fixture(spark, sf_dir, "bad_files").select("path", content.alias("content"), "io_error"))
+
+
+def _files_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = fixture(spark, sf_dir, "code_files").select(F.col("path").alias("p"), F.timestamp_seconds("last_modified").alias("at"), F.col("content").alias("body"))
+    return tables.files_from_table(table, "p", "at", "body").select("path", "last_modified", F.md5("content").alias("content_md5"))
+
+
+def _require_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = selection.require_nonempty(fixture(spark, sf_dir, "tree_files"))
+    return spark.range(1).select(F.lit(found).alias("nonempty"))
+
+
+def _read_source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree's files written to a folder that the executors share, then listed and read back."""
+    root = scratch_folder(spark, "source-tree").removeprefix("file://").removeprefix("file:")
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+                with open(f"{root}/{path}", "wb") as f:
+                    f.write(content.encode())
+            yield pd.DataFrame({"files": [len(frame)]})
+
+    fixture(spark, sf_dir, "tree_files").select("path", "content").mapInPandas(put, "files long").agg(F.sum("files")).collect()
+    return tree.read_source_tree(spark, root).select("rel_path", "length", F.md5("content").alias("content_md5"))
+
+
+def _analysis_cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base, a delta with removals, a compaction, another delta; then what is stored."""
+    folder = scratch_folder(spark, "analysis-cache")
+    files = fixture(spark, sf_dir, "code_files")
+    ids = files.select("path", "doc_id")
+    full = write_through(spark, extract.assemble_analysis(files).select("path", "last_modified", F.lit("x").alias("fingerprint"), "analysis").join(ids, "path"), "analyses")
+    entries = lambda where, later: full.where(where).withColumn("last_modified", F.col("last_modified") + F.lit(later).cast("bigint")).drop("doc_id")
+    cache.write_analysis_cache(entries("doc_id % 10 <> 0", 0), folder)
+    cache.append_analysis_cache(entries("doc_id % 3 = 0", 60), folder, removed=full.where("doc_id % 17 = 0 AND doc_id % 3 <> 0"))
+    cache.compact_analysis_cache(spark, folder)
+    cache.append_analysis_cache(entries("doc_id % 7 = 0", 120), folder)
+    return cache.read_analysis_cache(spark, folder).select("path", "last_modified", F.size("analysis.functions").cast("bigint").alias("functions"))
+
+
+def _write_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = fixture(spark, sf_dir, "tree_files")
+    blocks = report.report_blocks(
+        selection.documentation_files(files), manifests.packages(files, all_levels=True), extract.assemble_analysis(fixture(spark, sf_dir, "code_files"))
+    )
+    target = report_sink.publish_report(blocks, scratch_folder(spark, "report").removeprefix("file://").removeprefix("file:"))
+    return report_sink.read_report(spark, target)
+
+
+def _own_language(files: DataFrame) -> DataFrame:
+    names = lambda content: F.regexp_extract_all(content, F.lit(r'(?m)^name = "(.*)"$'), F.lit(1))
+    toml = replace(PYTHON, name="toml", suffixes=(".toml",), imports=names)
+    return extract.imports(files, languages=(*LANGUAGES, toml))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "files_from_table": _files_from_table,
+        "require_nonempty": _require_nonempty,
+        "read_source_tree": _read_source_tree,
+        "analysis_cache_log": _analysis_cache_log,
+        "write_report": _write_report,
+        "own_language": _tree(_own_language),
         "line_count": _per_document("lines", text.line_count),
         "token_count": _per_document("tokens", text.token_count),
         "cyclomatic_py": _per_document("complexity", python_source.cyclomatic),
@@ -232,7 +302,7 @@ def queries() -> dict[str, Query]:
         "incremental_analyze": _incremental_analyze,
         "stream_analyze": _stream_analyze,
         "assemble_analysis": _code(_assemble),
-        "analysis_errors": _tree(errors.analysis_errors),
+        "analysis_errors": _analysis_errors,
         "call_metrics": _call_metrics,
         "inference_metrics": _inference_metrics,
         "summarize": _code(_summarize),
