@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codescope.llm.common import batches_of, fold_chunks, salted_join, split_chunks, write_through
@@ -22,6 +23,8 @@ CHUNKS = 96
 SHORT_LIST = 8
 #: Lists estimated at this length or more are dealt by list and document.
 HOT_LIST = 4096
+#: Long lists of each set that are searched first; of the others only sets that may still link with another component.
+EAGER = 1
 #: Shingles in a block of a long list; a tile is two blocks.
 BLOCK = 1 << 19
 
@@ -220,6 +223,73 @@ def _read_lists(percent: int):
     return read
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Bits of the leading bits of a set's hashes, two to four times as many as shingles, packed. Sets differ in at least as many shingles as bits."""
+    level = min(16, max(9, (2 * len(shingles) - 1).bit_length()))
+    bits = np.zeros(1 << level, bool)
+    bits[(shingles >> np.uint64(64 - level)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """The bitmap at half its size: the leading bits but one."""
+    return np.packbits(np.unpackbits(bits).reshape(-1, 2).any(axis=1))
+
+
+def plausible(sizes: np.ndarray, labels: np.ndarray, roles: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets may link with one of another label: sizes fit and the bitmaps differ in no more bits than linked sets do in shingles."""
+    found = np.zeros(len(sizes), bool)
+    level = np.array([len(b) for b in bits])
+    for size in np.unique(level).tolist():  # linked sets are at most one level apart: their bitmaps are compared at the lower one
+        own = np.flatnonzero((level == size) | (level == 2 * size))
+        words = np.stack([bits[i] if level[i] == size else _folded(bits[i]) for i in own]).view(np.uint64)
+        n, label, role, low = sizes[own], labels[own], roles[own], level[own] == size
+        step = max(1, (1 << 20) // (len(own) * words.shape[1]))
+        for i in range(0, len(own), step):
+            part = slice(i, i + step)
+            fit = (label[part, None] != label) & (low[part, None] | low) & np.where(role[part, None] == 0, role == 0, role[part, None] + role == 3)
+            fit &= 100 * np.minimum(n[part, None], n) >= percent * np.maximum(n[part, None], n)
+            if fit.any():
+                apart = np.bitwise_count(words[part, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.int64)
+                fit &= apart * (100 + percent) <= (100 - percent) * (n[part, None] + n)
+                found[own[part]] |= fit.any(axis=1)
+                found[own] |= fit.any(axis=0)
+    return found
+
+
+def _plausible(percent: int):
+    """Rows sorted by group: of each group the members that may link with one of another component."""
+    names = ["g1", "g2", "lo", "hi", "s1", "s2", "role"]
+
+    def kept(group: tuple, members: list) -> Iterator[tuple]:
+        members = list({m[:2]: m for m in members}.values())
+        if len({m[3] for m in members}) > 1:
+            _, _, roles, labels, sizes, bits = zip(*members)
+            may = plausible(np.array(sizes), np.array(labels), np.array(roles), list(bits), percent)
+            yield from ((*group, *m[:3]) for m, yes in zip(members, may.tolist()) if yes)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack(out: list) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+        last, members = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            groups = zip(*(batch[c].to_pylist() for c in names[:4]))
+            for group, *own, bits in zip(groups, *(batch[c].to_pylist() for c in ("s1", "s2", "role", "label", "n")), batch["bits"]):
+                if group != last:
+                    out += kept(last, members)
+                    last, members = group, []
+                members.append((*own, np.frombuffer(bits.as_buffer(), np.uint8)))
+            if out:
+                yield pack(out)
+        if out := list(kept(last, members)):
+            yield pack(out)
+
+    return read
+
+
 def _sets(words: int, wanted):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = wanted.value, set()
@@ -229,9 +299,9 @@ def _sets(words: int, wanted):
                 sig = signature(s)
                 if len(s) and sig not in seen and known[(sig[0] & ((1 << 64) - 1)) >> 42]:
                     seen.add(sig)
-                    out.append((*sig, s.tobytes()))
+                    out.append((*sig, s.tobytes(), bitmap(s).tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["s1", "s2", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["s1", "s2", "shingles", "bits"])
 
     return emit
 
@@ -308,25 +378,50 @@ def _classes(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_
     members = found.where("list IS NOT NULL").join(busy, ["s1", "s2"], "left_semi").select("list", "n", "s1", "s2").distinct()
     lists = members.groupBy("list").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.sum(F.xxhash64("s1", "s2").cast("decimal(20,0)")).alias("who")).where("size > 1")
     lists = lists.groupBy("size", "weight", "who").agg(F.min("list").alias("list"))  # lists of the same members are searched once
-    lists = lists.select("list", F.greatest(F.lit(1), F.ceil(F.col("weight") / BLOCK)).cast("int").alias("blocks"))
-    tiles = salted_join(members, lists, "list").withColumn("block", F.pmod(F.xxhash64("s2", "s1"), F.col("blocks")).cast("int"))
-    tiles = tiles.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-    tiles = tiles.select(F.col("list").alias("g1"), zero.cast("long").alias("g2"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "s1", "s2",
-                         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("role"))
-    groups = write_through(spark, stars.unionByName(tiles), "groups")
-
-    wanted = fold_chunks(spark, groups.select("s1").mapInArrow(_mark, "chunk int, part binary"), 64, "uint8", WANTED, np.bitwise_or)
-    sets = source.where("doc_id IS NOT NULL").select("text").mapInArrow(_sets(words, sc.broadcast(wanted)), "s1 long, s2 long, shingles binary")
-    sets = sets.groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"))
-    ready = groups.join(sets, ["s1", "s2"]).repartition("g1", "g2", "lo", "hi").sortWithinPartitions("g1", "g2", "lo", "hi")
-    with batches_of(spark, 500):
-        edges = write_through(spark, ready.mapInArrow(_search(percent), "s1 long, s2 long, t1 long, t2 long"), "links")
+    lists = lists.select("list", "size", F.greatest(F.lit(1), F.ceil(F.col("weight") / BLOCK)).cast("int").alias("blocks"))
+    left = write_through(spark, salted_join(members, lists, "list"), "members")
 
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"))
-    ends = edges.join(classes, ["s1", "s2"]).select(F.col("class").alias("a"), F.col("t1").alias("s1"), F.col("t2").alias("s2"))
-    ends = ends.join(classes, ["s1", "s2"]).select("a", F.col("class").alias("b"))
-    linked = components(spark, ends)
-    classes = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").where("copies > 1 OR component IS NOT NULL")
+    classes = write_through(spark, classes, "classes")
+    asked_for = stars.select("s1").union(left.select("s1"))
+    wanted = fold_chunks(spark, asked_for.mapInArrow(_mark, "chunk int, part binary"), 64, "uint8", WANTED, np.bitwise_or)
+    sets = source.where("doc_id IS NOT NULL").select("text").mapInArrow(_sets(words, sc.broadcast(wanted)), "s1 long, s2 long, shingles binary, bits binary")
+    sets = write_through(spark, sets.groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "shingles")
+
+    def tiles(held: DataFrame) -> DataFrame:
+        own = held.withColumn("block", F.pmod(F.xxhash64("s2", "s1"), F.col("blocks")).cast("int"))
+        own = own.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+        role = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("role")
+        return own.select(F.col("list").alias("g1"), zero.cast("long").alias("g2"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "s1", "s2", role)
+
+    def searched(groups: DataFrame) -> DataFrame:
+        ready = groups.join(sets.drop("bits"), ["s1", "s2"]).repartition("g1", "g2", "lo", "hi").sortWithinPartitions("g1", "g2", "lo", "hi")
+        with batches_of(spark, 500):
+            return write_through(spark, ready.mapInArrow(_search(percent), "s1 long, s2 long, t1 long, t2 long"), "links")
+
+    def connected(edges: DataFrame) -> DataFrame:
+        ends = edges.join(classes, ["s1", "s2"]).select(F.col("class").alias("a"), F.col("t1").alias("s1"), F.col("t2").alias("s2"))
+        ends = ends.join(classes, ["s1", "s2"]).select("a", F.col("class").alias("b"))
+        return write_through(spark, components(spark, ends).withColumnRenamed("node", "class"), "components")
+
+    # Near copies share most of their lists. The longest of each set go first. Of the other lists only those count whose members
+    # lie in different components by then, and in these only sets that may link across: small bitmaps, not whole sets, are sent to tell.
+    longest = W.partitionBy("s1", "s2").orderBy(F.desc("size"), "list")
+    chosen = write_through(spark, left.withColumn("rank", F.row_number().over(longest)).where(F.col("rank") <= EAGER).select("list").distinct(), "chosen")
+    edges = searched(stars.unionByName(tiles(salted_join(left, chosen, "list", "left_semi"))))
+    linked = connected(edges)
+    named = classes.join(linked, "class", "left").select("s1", "s2", F.coalesce("component", "class").alias("label"))
+    rest = salted_join(left, chosen, "list", "left_anti").join(named, ["s1", "s2"])
+    apart = rest.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("list")
+    rest = write_through(spark, salted_join(rest, apart, "list", "left_semi"), "rest")
+    if not rest.isEmpty():
+        told = tiles(rest).join(sets.select("s1", "s2", "bits"), ["s1", "s2"]).join(rest.select("s1", "s2", "n", "label").distinct(), ["s1", "s2"])
+        told = told.repartition("g1", "g2", "lo", "hi").sortWithinPartitions("g1", "g2", "lo", "hi")
+        with batches_of(spark, 2000):
+            groups = write_through(spark, told.mapInArrow(_plausible(percent), "g1 long, g2 long, lo int, hi int, s1 long, s2 long, role int"), "groups")
+        linked = connected(edges.unionByName(searched(groups)))
+
+    classes = classes.join(linked, "class", "left").where("copies > 1 OR component IS NOT NULL")
     classes = classes.select(F.struct("s1", "s2").alias("set"), F.coalesce("component", "class").alias("component_id"))
     own = rows.select("doc_id", "hash", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.struct("s1", "s2")).alias("set"))
     return own, classes
@@ -338,7 +433,8 @@ def ngram_join(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     Equal sets are one class from the start. Each set posts its short lists, the rarest shingles by a
     sketch of list lengths over the whole corpus, at least ``T - L`` of which a partner shares. A pair from
     lists of up to SHORT_LIST members is searched if it shares that many of them; members of longer lists meet in
-    tiles of bounded size, each searched with DivideSkip. Links found connect; the links left
+    tiles of bounded size, each searched with DivideSkip, a set's longest list first; of the others only members whose bitmaps allow a
+    link with another component are sent. Links found connect; the links left
     out join documents that others connect already. No list, bucket or partner count is capped.
 
     Null text counts as empty; empty sets link with nothing. A row without an id links with nothing and has

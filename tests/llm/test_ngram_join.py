@@ -89,3 +89,22 @@ def test_sets_do_not_depend_on_batches():
     single = [next(iter(shingles.shingle_sets(pa.array([t]), 3))).tolist() for t in texts]
     assert whole == single == [s.tolist() for s in shingles.shingle_sets(pa.array(["pad", *texts])[1:], 3)]
     assert [len(s) for s in whole] == [len(s) for s in sets_of(texts, 3)]
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_bitmaps_lose_no_link(percent):
+    rng = np.random.default_rng(percent)
+    sets, labels = [], []
+    for _ in range(12):
+        base = np.unique(rng.integers(0, 1 << 64, int(rng.integers(1, 900)), dtype=np.uint64))
+        for _ in range(5):
+            gone = rng.integers(0, len(base), int(rng.integers(0, 1 + len(base) * (100 - percent) // 100)))
+            sets.append(np.unique(np.concatenate([np.delete(base, gone), rng.integers(0, 1 << 64, int(rng.integers(0, 1 + len(base) // 8)), dtype=np.uint64)])))
+            labels.append(int(rng.integers(0, 4)))
+    roles = rng.integers(1, 3, len(sets))
+    for role in (np.zeros(len(sets), int), roles):
+        may = ngram_join.plausible(np.array([len(s) for s in sets]), np.array(labels), role, [ngram_join.bitmap(s) for s in sets], percent)
+        for i, a in enumerate(sets):
+            partners = [j for j, b in enumerate(sets) if labels[i] != labels[j] and (role[i] == 0 or role[i] + role[j] == 3) and len(a) and len(b) and ngram_join.links(len(a), len(b), len(np.intersect1d(a, b)), percent)]
+            assert may[i] or not partners
+    assert 0 < may.sum() < len(sets)
