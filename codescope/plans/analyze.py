@@ -87,6 +87,7 @@ def analyze_tree(
     on_error: str = "fail",
     body_mode: str = "reference",
     languages: Sequence[LanguageExtractor] = LANGUAGES,
+    answers_path: str | None = None,
 ) -> Run | None:
     """Analyse a source tree; None if it has no code files.
 
@@ -125,7 +126,7 @@ def analyze_tree(
     fresh = tried.filter("error IS NULL").select(columns)
     log = None
     if summarizer is not None:
-        fresh, log = with_summaries(fresh, summarizer, model, languages)
+        fresh, log = with_summaries(fresh, summarizer, model, languages, answers_path)
         fresh = write_through(spark, fresh, "summarised")
     analyses = fresh.unionByName(hits)
     if cache_path:
@@ -143,15 +144,19 @@ def _as_text(spark: SparkSession, files: DataFrame, purpose: str) -> tuple[DataF
 
 
 def with_summaries(
-    analyses: DataFrame, summarizer: Summarizer, model: str = "", languages: Sequence[LanguageExtractor] = LANGUAGES
+    analyses: DataFrame,
+    summarizer: Summarizer,
+    model: str = "",
+    languages: Sequence[LanguageExtractor] = LANGUAGES,
+    answers_path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Analyses with summaries filled in, and the log of calls.
+    """Analyses with summaries filled in, and the log of calls; answers come from and go to the store at ``answers_path``.
 
     Only the summaries travel: they are grouped by file and set into the function
     list of the stored row. A file's functions are bounded by the file.
     """
     rows = explode_analysis(analyses, "functions", languages)
-    done, log = summarize(rows, summarizer, model, languages=languages)
+    done, log = summarize(rows, summarizer, model, languages=languages, store=answers_path)
     answers = (
         done.filter("summary IS NOT NULL")
         .groupBy("path")

@@ -25,7 +25,7 @@ def _json_string(document: Column, key: str) -> Column:
 
 
 def _toml_string(text: Column, key: str) -> Column:
-    """A string under [package], or the dotted key package.<key>; null otherwise."""
+    """A string under [package], the dotted key package.<key>, or <key> of an inline table ``package = { ... }``; null otherwise."""
     plain = F.regexp_replace(text, r'(?s)""".*?"""|\'\'\'.*?\'\'\'', '""')
     section = F.regexp_extract(plain, r"(?md)^[ \t]*\[[ \t]*package[ \t]*\][^\n]*\n((?:(?!^[ \t]*\[)[^\n]*(?:\n|\z))*+)", 1)
     value = r"""[ \t]*=[ \t]*(?:"((?:[^"\\\n]|\\.)*+)"|'([^'\n]*+)')"""
@@ -38,7 +38,10 @@ def _toml_string(text: Column, key: str) -> Column:
         return F.when(found, F.when(literal != "", literal).otherwise(unescaped))
 
     top = F.regexp_extract(plain, r"(?md)\A((?:(?!^[ \t]*\[)[^\n]*(?:\n|\z))*+)", 1)
-    return F.coalesce(read(section, name), read(top, rf"package[ \t]*\.[ \t]*{name}"))
+    # An inline table stands on one line; its entries become lines of their own, commas inside strings aside.
+    inline = F.regexp_extract(top, r"""(?md)^[ \t]*["']?package["']?[ \t]*=[ \t]*\{((?:[^"'}\n]|"(?:[^"\\\n]|\\.)*+"|'[^'\n]*+')*+)\}""", 1)
+    entries = F.regexp_replace(inline, r"""((?:[^"',\n]|"(?:[^"\\\n]|\\.)*+"|'[^'\n]*+')*+),""", "$1\n")
+    return F.coalesce(read(section, name), read(top, rf"package[ \t]*\.[ \t]*{name}"), read(entries, name))
 
 
 def _named(rows: DataFrame, values: Column, keep: list[str]) -> DataFrame:

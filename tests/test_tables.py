@@ -338,3 +338,36 @@ def test_report_is_published_whole(spark, tmp_path):
     assert read() == want(20) and len(list((tmp_path / "out/report.md").glob("parts-*"))) == 1
     report_sink.publish_report(blocks_of(spark, 20).limit(0), target)
     assert read() == ""
+
+
+def test_answers_are_kept_across_runs(spark, tmp_path):
+    schema = "path string, language string, ord int, name string, signature string, types string, body string, lines_of_code bigint, cyclomatic_complexity bigint, parameters bigint, returns boolean, summary string"
+    rows = [(f"p{k}.rs", "rust", 1, "same" if k < 40 else f"f{k}", f"fn f{min(k, 40) if k < 40 else k} ()" if k >= 40 else "fn same ()", "", "b", 9, 1, 0, False, None) for k in range(50)]
+    functions, store = spark.createDataFrame(rows, schema), str(tmp_path / "store")
+    sent = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        sent.add(len(prompts))
+        if any("f45" in p for p in prompts):
+            raise RuntimeError("overloaded")
+        return [p.split("\nSignature: ")[1].split("\n")[0] for p in prompts]
+
+    run = lambda f: summarize.summarize(functions, f, "m", batch_size=1, store=store, attempts=2)
+    done, log = run(model)
+    got = {r["path"]: r["summary"] for r in done.collect()}
+    assert len(got) == 50 and got["p3.rs"] == "fn same ()" and got["p45.rs"] is None and log.count() == 10
+    assert sent.value == 10 + 2  # eleven prompts, the failing one twice
+    assert [r["error"] for r in summarize.failed_answers(spark, store, "m").collect()] == ["RuntimeError: overloaded"]
+
+    # Again: only the failed prompt is sent; another model asks for itself.
+    done, log = run(lambda p: [f"late {len(p)}"] * len(p))
+    assert log.count() == 1 and {r["path"]: r["summary"] for r in done.collect()}["p45.rs"] == "late 1"
+    assert summarize.failed_answers(spark, store, "m").count() == 0
+    assert run(model)[1].count() == 0 and sent.value == 12
+    assert summarize.summarize(functions, summarize.first_line_summary, "other", store=store)[1].count() == 11
+
+
+def test_inline_package_tables(spark):
+    rows = [("a/Cargo.toml", 'package = { name = "a, b", version = "1" }\n[dependencies]\nname = "no"\n'), ("b/Cargo.toml", "package = { version = '2', name = 'q' }"), ("c/Cargo.toml", 'x = { name = "n", version = "3" }\n')]
+    found = manifests.cargo_packages(spark.createDataFrame(rows, "path string, content string"), all_levels=True).collect()
+    assert sorted(map(tuple, found)) == [("a/Cargo.toml", "a, b", "1"), ("b/Cargo.toml", "q", "2")]
