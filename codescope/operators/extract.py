@@ -45,17 +45,17 @@ def analysis(
 ) -> Column:
     """Struct of imports, functions, types and exports of the named columns; null for
     other languages."""
-    return _expression(id(SparkContext._gateway), "analysis", path, content, body_mode, tuple(languages))
+    return _expression(SparkContext._gateway, "analysis", path, content, body_mode, tuple(languages))
 
 
 @lru_cache(maxsize=256)
 def _expression(
-    gateway: int, what: str, path: str, content: str, body_mode: str, languages: tuple[LanguageExtractor, ...]
+    gateway: object, what: str, path: str, content: str, body_mode: str, languages: tuple[LanguageExtractor, ...]
 ) -> Column:
     """Expression for one list or for the whole analysis.
 
     Kept, as it takes thousands of calls into the JVM to build and depends on nothing
-    but the arguments (``gateway`` stands for the JVM it lives in).
+    but the arguments (``gateway`` is the way to the JVM it lives in, kept so that no later one takes its identity).
     """
     text = F.col(content)
     if what != "analysis":
@@ -88,7 +88,7 @@ def part_table(
 ) -> DataFrame:
     """path, language, ord (from 1) and the value of one list, from file contents."""
     path = F.col("path")
-    values = _expression(id(SparkContext._gateway), part, "path", "content", body_mode, tuple(languages))
+    values = _expression(SparkContext._gateway, part, "path", "content", body_mode, tuple(languages))
     lists = files.filter(language(path, languages).isNotNull()).select(
         "path",
         language(path, languages).alias("language"),
