@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def spread_join(big: DataFrame, small: DataFrame, on: str, how: str = "left", salts: int = 16) -> DataFrame:
-    """``big`` joined with ``small``, which has one row per key: a key's rows of ``big`` are dealt to ``salts`` partitions."""
+    """``big`` joined with ``small``, which has one row per key: a key's rows of ``big`` are dealt to ``salts`` partitions.
+
+    By sorting: the planner takes ``small`` for a ``salts``-th of its rows, and would send it whole to every task.
+    """
     rest = [F.col(c) for c in big.columns if c != on] or [F.col(on)]
     left = big.withColumn("_deal", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
     right = small.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [on, "_deal"], how).drop("_deal")
+    return left.join(right.hint("merge"), [on, "_deal"], how).drop("_deal")

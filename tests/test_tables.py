@@ -371,3 +371,13 @@ def test_inline_package_tables(spark):
     rows = [("a/Cargo.toml", 'package = { name = "a, b", version = "1" }\n[dependencies]\nname = "no"\n'), ("b/Cargo.toml", "package = { version = '2', name = 'q' }"), ("c/Cargo.toml", 'x = { name = "n", version = "3" }\n')]
     found = manifests.cargo_packages(spark.createDataFrame(rows, "path string, content string"), all_levels=True).collect()
     assert sorted(map(tuple, found)) == [("a/Cargo.toml", "a, b", "1"), ("b/Cargo.toml", "q", "2")]
+
+
+def test_spread_join_sends_no_repeated_table_to_every_task(spark):
+    from codescope.operators.spread import spread_join
+
+    big = spark.range(200).selectExpr("cast(id % 3 as string) k", "id")
+    small = spark.createDataFrame([("0", "a"), ("1", "b")], "k string, v string")
+    joined = spread_join(big, small, "k")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(joined.collect()) == sorted(big.join(small, "k", "left").select(joined.columns).collect())
