@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codescope.llm.common import batches_of, fold_chunks, salted_join, split_chunks, write_through
 from codescope.llm.components import components
 from codescope.llm.shingles import mix, shingle_sets, signature
+from codescope.scratch import write_bucketed
 
 #: Entries of each row of the sketch of list lengths, its rows, and the filter of wanted sets: fixed, whatever the corpus.
 WIDTH = 1 << 20
@@ -236,9 +237,12 @@ def _folded(bits: np.ndarray) -> np.ndarray:
     return np.packbits(np.unpackbits(bits).reshape(-1, 2).any(axis=1))
 
 
-def plausible(sizes: np.ndarray, labels: np.ndarray, roles: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which sets may link with one of another label: sizes fit and the bitmaps differ in no more bits than linked sets do in shingles."""
-    found = np.zeros(len(sizes), bool)
+def plausible_clusters(sizes: np.ndarray, labels: np.ndarray, roles: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the first of those that it is joined with by pairs that may link across labels: sizes fit and the bitmaps differ in no more bits than linked sets do in shingles.
+
+    A set that is in no such pair stands for itself alone.
+    """
+    first = np.arange(len(sizes))
     level = np.array([len(b) for b in bits])
     for size in np.unique(level).tolist():  # linked sets are at most one level apart: their bitmaps are compared at the lower one
         own = np.flatnonzero((level == size) | (level == 2 * size))
@@ -252,25 +256,34 @@ def plausible(sizes: np.ndarray, labels: np.ndarray, roles: np.ndarray, bits: li
             if fit.any():
                 apart = np.bitwise_count(words[part, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.int64)
                 fit &= apart * (100 + percent) <= (100 - percent) * (n[part, None] + n)
-                found[own[part]] |= fit.any(axis=1)
-                found[own] |= fit.any(axis=0)
-    return found
+                for k in np.flatnonzero(fit.any(axis=1)).tolist():
+                    met = np.unique(np.append(first[own[fit[k]]], first[own[i + k]]))
+                    if len(met) > 1:
+                        first[np.isin(first, met)] = met[0]
+    return first
+
+
+def plausible(sizes: np.ndarray, labels: np.ndarray, roles: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets may link with one of another label."""
+    first = plausible_clusters(sizes, labels, roles, bits, percent)
+    return np.bincount(first, minlength=len(first))[first] > 1
 
 
 def _plausible(percent: int):
-    """Rows sorted by group: of each group the members that may link with one of another component."""
-    names = ["g1", "g2", "lo", "hi", "s1", "s2", "role"]
+    """Rows sorted by group: of each group the members that may link with one of another component, each with the first of its cluster."""
+    names = ["g1", "g2", "lo", "hi", "s1", "s2", "role", "n", "t1", "t2"]
 
     def kept(group: tuple, members: list) -> Iterator[tuple]:
         members = list({m[:2]: m for m in members}.values())
         if len({m[3] for m in members}) > 1:
             _, _, roles, labels, sizes, bits = zip(*members)
-            may = plausible(np.array(sizes), np.array(labels), np.array(roles), list(bits), percent)
-            yield from ((*group, *m[:3]) for m, yes in zip(members, may.tolist()) if yes)
+            first = plausible_clusters(np.array(sizes), np.array(labels), np.array(roles), list(bits), percent)
+            many = np.bincount(first, minlength=len(first))[first] > 1
+            yield from ((*group, *m[:3], m[4], *members[f][:2]) for m, f, yes in zip(members, first.tolist(), many.tolist()) if yes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(out: list) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
         last, members = None, []
@@ -348,6 +361,65 @@ def _search(percent: int):
     return search
 
 
+def _tiles(held: DataFrame) -> DataFrame:
+    """Groups of members (list, blocks, s1, s2): each pair of a list's blocks."""
+    own = held.withColumn("block", F.pmod(F.xxhash64("s2", "s1"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    role = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("role")
+    return own.select(F.col("list").alias("g1"), F.lit(0).cast("long").alias("g2"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "s1", "s2", role)
+
+
+def _connected(spark: SparkSession, edges: DataFrame, classes: DataFrame) -> DataFrame:
+    ends = edges.join(classes, ["s1", "s2"]).select(F.col("class").alias("a"), F.col("t1").alias("s1"), F.col("t2").alias("s2"))
+    ends = ends.join(classes, ["s1", "s2"]).select("a", F.col("class").alias("b"))
+    return write_through(spark, components(spark, ends).withColumnRenamed("node", "class"), "components")
+
+
+def _met_once(spark: SparkSession, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Groups in which all pairs of ``found`` meet that met there. Its sets share many lists: by clusters each is sent once, or to few tiles.
+
+    Where a cluster is so large that its tiles would get more rows than its lists, the lists remain.
+    """
+    cluster = _connected(spark, found.select("s1", "s2", "t1", "t2"), classes).withColumnRenamed("component", "list")
+    named = classes.select("s1", "s2", "class").join(cluster, "class").select("s1", "s2", "list")
+    rows = found.drop("t1", "t2").join(named, ["s1", "s2"])
+    members = rows.groupBy("list", "s1", "s2").agg(F.first("n").alias("n"), F.count("*").alias("sent"))
+    members = write_through(spark, members, "clusters")
+    blocks = F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).cast("int")
+    whole = members.groupBy("list").agg(blocks.alias("blocks"), F.count("*").alias("size"), F.sum("sent").alias("sent")).where("blocks * size <= sent")
+    whole = write_through(spark, whole.select("list", "blocks"), "whole")
+    own = _tiles(salted_join(members.select("list", "s1", "s2"), whole, "list")).withColumn("g2", F.lit(1).cast("long"))
+    return own.unionByName(salted_join(rows, whole.select("list"), "list", "left_anti").select(own.columns))
+
+
+def _linked(spark: SparkSession, sets: DataFrame, stars: DataFrame, left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(class, component) of all links among the members of ``stars`` (groups as they are) and ``left`` (long lists)."""
+
+    def searched(groups: DataFrame) -> DataFrame:
+        ready = groups.join(sets.drop("bits"), ["s1", "s2"]).repartition("g1", "g2", "lo", "hi").sortWithinPartitions("g1", "g2", "lo", "hi")
+        with batches_of(spark, 500):
+            return write_through(spark, ready.mapInArrow(_search(percent), "s1 long, s2 long, t1 long, t2 long"), "links")
+
+    # Near copies share most of their lists. The longest of each set go first. Of the other lists only those count whose members
+    # lie in different components by then, and in these only sets that may link across: small bitmaps, not whole sets, are sent to tell.
+    longest = W.partitionBy("s1", "s2").orderBy(F.desc("size"), "list")
+    chosen = write_through(spark, left.withColumn("rank", F.row_number().over(longest)).where(F.col("rank") <= EAGER).select("list").distinct(), "chosen")
+    edges = searched(stars.unionByName(_tiles(salted_join(left, chosen, "list", "left_semi"))))
+    linked = _connected(spark, edges, classes)
+    named = classes.join(linked, "class", "left").select("s1", "s2", F.coalesce("component", "class").alias("label"))
+    rest = salted_join(left, chosen, "list", "left_anti").join(named, ["s1", "s2"])
+    apart = rest.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("list")
+    rest = write_through(spark, salted_join(rest, apart, "list", "left_semi"), "rest")
+    if rest.isEmpty():
+        return linked
+    told = _tiles(rest).join(sets.select("s1", "s2", "bits"), ["s1", "s2"]).join(rest.select("s1", "s2", "n", "label").distinct(), ["s1", "s2"])
+    told = told.repartition("g1", "g2", "lo", "hi").sortWithinPartitions("g1", "g2", "lo", "hi")
+    kinds = "g1 long, g2 long, lo int, hi int, s1 long, s2 long, role int, n long, t1 long, t2 long"
+    with batches_of(spark, 2000):
+        found = write_through(spark, told.mapInArrow(_plausible(percent), kinds), "groups")
+    return _connected(spark, edges.unionByName(searched(_met_once(spark, found, classes))), classes)
+
+
 def _classes(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, hash, n, set), ``set`` null without id or words, and (set, component_id) of sets that more than one row has or that link."""
     sc = spark.sparkContext
@@ -385,41 +457,11 @@ def _classes(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_
     classes = write_through(spark, classes, "classes")
     asked_for = stars.select("s1").union(left.select("s1"))
     wanted = fold_chunks(spark, asked_for.mapInArrow(_mark, "chunk int, part binary"), 64, "uint8", WANTED, np.bitwise_or)
-    sets = source.where("doc_id IS NOT NULL").select("text").mapInArrow(_sets(words, sc.broadcast(wanted)), "s1 long, s2 long, shingles binary, bits binary")
-    sets = write_through(spark, sets.groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "shingles")
-
-    def tiles(held: DataFrame) -> DataFrame:
-        own = held.withColumn("block", F.pmod(F.xxhash64("s2", "s1"), F.col("blocks")).cast("int"))
-        own = own.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-        role = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("role")
-        return own.select(F.col("list").alias("g1"), zero.cast("long").alias("g2"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "s1", "s2", role)
-
-    def searched(groups: DataFrame) -> DataFrame:
-        ready = groups.join(sets.drop("bits"), ["s1", "s2"]).repartition("g1", "g2", "lo", "hi").sortWithinPartitions("g1", "g2", "lo", "hi")
-        with batches_of(spark, 500):
-            return write_through(spark, ready.mapInArrow(_search(percent), "s1 long, s2 long, t1 long, t2 long"), "links")
-
-    def connected(edges: DataFrame) -> DataFrame:
-        ends = edges.join(classes, ["s1", "s2"]).select(F.col("class").alias("a"), F.col("t1").alias("s1"), F.col("t2").alias("s2"))
-        ends = ends.join(classes, ["s1", "s2"]).select("a", F.col("class").alias("b"))
-        return write_through(spark, components(spark, ends).withColumnRenamed("node", "class"), "components")
-
-    # Near copies share most of their lists. The longest of each set go first. Of the other lists only those count whose members
-    # lie in different components by then, and in these only sets that may link across: small bitmaps, not whole sets, are sent to tell.
-    longest = W.partitionBy("s1", "s2").orderBy(F.desc("size"), "list")
-    chosen = write_through(spark, left.withColumn("rank", F.row_number().over(longest)).where(F.col("rank") <= EAGER).select("list").distinct(), "chosen")
-    edges = searched(stars.unionByName(tiles(salted_join(left, chosen, "list", "left_semi"))))
-    linked = connected(edges)
-    named = classes.join(linked, "class", "left").select("s1", "s2", F.coalesce("component", "class").alias("label"))
-    rest = salted_join(left, chosen, "list", "left_anti").join(named, ["s1", "s2"])
-    apart = rest.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("list")
-    rest = write_through(spark, salted_join(rest, apart, "list", "left_semi"), "rest")
-    if not rest.isEmpty():
-        told = tiles(rest).join(sets.select("s1", "s2", "bits"), ["s1", "s2"]).join(rest.select("s1", "s2", "n", "label").distinct(), ["s1", "s2"])
-        told = told.repartition("g1", "g2", "lo", "hi").sortWithinPartitions("g1", "g2", "lo", "hi")
-        with batches_of(spark, 2000):
-            groups = write_through(spark, told.mapInArrow(_plausible(percent), "g1 long, g2 long, lo int, hi int, s1 long, s2 long, role int"), "groups")
-        linked = connected(edges.unionByName(searched(groups)))
+    raw = source.where("doc_id IS NOT NULL").select("text").mapInArrow(_sets(words, sc.broadcast(wanted)), "s1 long, s2 long, shingles binary, bits binary")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = raw.repartition(buckets, "s1", "s2").groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
+    with batches_of(spark, 2000), write_bucketed(spark, sets, "shingles", ["s1", "s2"], buckets) as sets:
+        linked = _linked(spark, sets, stars, left, classes, percent)
 
     classes = classes.join(linked, "class", "left").where("copies > 1 OR component IS NOT NULL")
     classes = classes.select(F.struct("s1", "s2").alias("set"), F.coalesce("component", "class").alias("component_id"))

@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from codescope.llm import ngram_join, shingles
+from codescope.llm import common, ngram_join, shingles
+from codescope.scratch import write_bucketed
 
 
 def sets_of(texts, words):
@@ -108,3 +109,44 @@ def test_bitmaps_lose_no_link(percent):
             partners = [j for j, b in enumerate(sets) if labels[i] != labels[j] and (role[i] == 0 or role[i] + role[j] == 3) and len(a) and len(b) and ngram_join.links(len(a), len(b), len(np.intersect1d(a, b)), percent)]
             assert may[i] or not partners
     assert 0 < may.sum() < len(sets)
+
+
+@pytest.mark.parametrize("kind", ["int32", "int64", "uint8"])
+def test_chunks_of_small_numbers_are_small_and_fold_to_their_sum(spark, kind):
+    rng = np.random.default_rng(3)
+    low = 0 if kind == "uint8" else -3
+    parts = [rng.integers(low, 4, 1 << 14).astype(kind) for _ in range(3)]
+    if kind != "uint8":
+        parts[0][5:8] = np.iinfo(kind).min, np.iinfo(kind).max - 9, -70000
+    rows = [(k, part) for a in parts for k, part in common.split_chunks(a, 4)]
+    assert sum(len(part) for _, part in rows) < 3 * (1 << 14) * 0.6
+    frame = spark.createDataFrame([(k, bytearray(part)) for k, part in rows], "chunk int, part binary")
+    op = np.bitwise_or if kind == "uint8" else np.add
+    total = common.fold_chunks(spark, frame, 4, kind, 1 << 14, op)
+    assert total.dtype == kind and (total == op(op(parts[0], parts[1]), parts[2])).all()
+
+
+def test_bucketed_tables_are_joined_without_another_shuffle(spark):
+    sets = spark.range(1000).selectExpr("id s1", "id % 7 s2", "uuid() shingles").repartition(4, "s1", "s2")
+    groups = spark.range(500).selectExpr("id g1", "id * 2 s1", "id * 2 % 7 s2")
+    with write_bucketed(spark, sets, "sets", ["s1", "s2"], 4) as table:
+        name = table.inputFiles()
+        joined = groups.join(table.hint("merge"), ["s1", "s2"])
+        assert joined._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+        assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the groups only
+        assert joined.count() == 500 and len(name) <= 4
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("codescope_")]
+
+
+def test_sets_that_meet_in_many_lists_are_sent_once(spark, monkeypatch):
+    """Thirty sets in twenty lists were six hundred whole sets of shingles; a cluster larger than its tiles allow keeps its lists."""
+    rows = [(g, 0, 0, 0, s, -s, 0, 10, 1, -1) for g in range(20) for s in range(1, 31)]
+    rows += [(g, 0, 0, 0, s, -s, 0, 10, 100, -100) for g in (50, 51) for s in range(100, 130)]
+    found = spark.createDataFrame(rows, "g1 long, g2 long, lo int, hi int, s1 long, s2 long, role int, n long, t1 long, t2 long")
+    classes = spark.createDataFrame([(s, -s, s) for s in [*range(1, 31), *range(100, 130)]], "s1 long, s2 long, class long")
+    sent = ngram_join._met_once(spark, found, classes).collect()
+    assert sorted(r["s1"] for r in sent) == [*range(1, 31), *range(100, 130)]
+    assert {(r["g1"], r["role"]) for r in sent} == {(1, 0), (100, 0)}
+    monkeypatch.setattr(ngram_join, "BLOCK", 60)  # five blocks: five tiles a set, where it had two lists
+    sent = [r for r in ngram_join._met_once(spark, found, classes).collect() if r["s1"] >= 100]
+    assert len(sent) == 60 and {r["g1"] for r in sent} == {50, 51}
