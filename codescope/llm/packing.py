@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codescope.llm.common import write_through
+from codescope.llm.common import batches_of, write_through
 
 CAPACITY = 2048
 END = 0
@@ -100,7 +100,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
                 edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                     part = ids[4 * a : 4 * b]
-                    rows.append((k, piece, a, b - a, zlib.crc32(part), part))
+                    rows.append((k, piece, a, b - a, zlib.crc32(part), part if with_ids else None))
             if rows:
                 of, *columns, parts = zip(*rows)
                 arrays = [batch["doc_id"].take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64())))]
@@ -329,5 +329,7 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Tokenises, cuts and packs ``docs``; see ``token_pieces`` and ``pack``. Texts are tokenised once."""
-    return pack(spark, write_through(spark, token_pieces(docs, tokenizer, capacity, id_col, text_col, with_ids), "pieces"), capacity)
+    """Tokenises, cuts and packs ``docs``; see ``token_pieces`` and ``pack``. Texts are tokenised once, in small batches: a worker holds one of texts and what comes of it."""
+    with batches_of(spark, 1000):
+        pieces = write_through(spark, token_pieces(docs, tokenizer, capacity, id_col, text_col, with_ids), "pieces")
+    return pack(spark, pieces, capacity)

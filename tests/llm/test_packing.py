@@ -138,3 +138,12 @@ def test_wrong_lengths_raise(spark):
     bad = spark.createDataFrame([(1, 0, 1, 0)], "doc_id long, piece int, ids_crc32 long, length long")
     with pytest.raises(ValueError, match="length 0"):
         packing.pack(spark, bad)
+
+
+def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
+    limits = []
+    plain = packing.write_through
+    monkeypatch.setattr(packing, "write_through", lambda s, df, purpose: limits.append((purpose, int(s.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))) or plain(s, df, purpose))
+    docs = spark.createDataFrame([(k, f"word{k} of text") for k in range(20)], "doc_id long, text string")
+    assert packing.pack_documents(spark, docs, path("byte_bpe_50k.json")).count() == 20
+    assert dict(limits)["pieces"] <= 1000
