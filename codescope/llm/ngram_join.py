@@ -369,9 +369,12 @@ def _tiles(held: DataFrame) -> DataFrame:
     return own.select(F.col("list").alias("g1"), F.lit(0).cast("long").alias("g2"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "s1", "s2", role)
 
 
-def _connected(spark: SparkSession, edges: DataFrame, classes: DataFrame) -> DataFrame:
+def _connected(spark: SparkSession, edges: DataFrame, classes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(class, component) of the classes at the ends of ``edges``, and of those that earlier edges connected (``known``)."""
     ends = edges.join(classes, ["s1", "s2"]).select(F.col("class").alias("a"), F.col("t1").alias("s1"), F.col("t2").alias("s2"))
     ends = ends.join(classes, ["s1", "s2"]).select("a", F.col("class").alias("b"))
+    if known is not None:
+        ends = ends.union(known.select("class", "component"))
     return write_through(spark, components(spark, ends).withColumnRenamed("node", "class"), "components")
 
 
@@ -417,7 +420,7 @@ def _linked(spark: SparkSession, sets: DataFrame, stars: DataFrame, left: DataFr
     kinds = "g1 long, g2 long, lo int, hi int, s1 long, s2 long, role int, n long, t1 long, t2 long"
     with batches_of(spark, 2000):
         found = write_through(spark, told.mapInArrow(_plausible(percent), kinds), "groups")
-    return _connected(spark, edges.unionByName(searched(_met_once(spark, found, classes))), classes)
+    return _connected(spark, searched(_met_once(spark, found, classes)), classes, linked)
 
 
 def _classes(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -427,13 +430,14 @@ def _classes(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_
     hashed = source.withColumn("hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
     with batches_of(spark, 2000):
         scanned = write_through(spark, hashed.mapInArrow(_scan(words), "doc_id long, hash long, n long, s1 long, s2 long, chunk int, part binary"), "sets")
-    lengths = fold_chunks(spark, scanned.where("chunk IS NOT NULL"), CHUNKS, "int32", ROWS * WIDTH, np.add)
+    lengths = sc.broadcast(fold_chunks(spark, scanned.where("chunk IS NOT NULL"), CHUNKS, "int32", ROWS * WIDTH, np.add))
     rows = scanned.where("chunk IS NULL").select("doc_id", "hash", "n", "s1", "s2")
 
-    postings = source.where("doc_id IS NOT NULL").select("text").mapInArrow(_short_lists(words, percent, sc.broadcast(lengths)), "list long, deal int, n long, s1 long, s2 long")
+    postings = source.where("doc_id IS NOT NULL").select("text").mapInArrow(_short_lists(words, percent, lengths), "list long, deal int, n long, s1 long, s2 long")
     postings = postings.repartition("list", "deal").sortWithinPartitions("list", "deal")
     with batches_of(spark, 2000):
         found = write_through(spark, postings.mapInArrow(_read_lists(percent), "list long, n long, s1 long, s2 long, m long, t1 long, t2 long"), "lists")
+    lengths.destroy()
 
     asked = lambda n: f"(1 + ({n} - {need_sql(n)}) DIV 2)"
     need_sql = lambda n: f"CAST(ceil({percent} * {n} / 100) AS bigint)"
@@ -456,11 +460,12 @@ def _classes(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"))
     classes = write_through(spark, classes, "classes")
     asked_for = stars.select("s1").union(left.select("s1"))
-    wanted = fold_chunks(spark, asked_for.mapInArrow(_mark, "chunk int, part binary"), 64, "uint8", WANTED, np.bitwise_or)
-    raw = source.where("doc_id IS NOT NULL").select("text").mapInArrow(_sets(words, sc.broadcast(wanted)), "s1 long, s2 long, shingles binary, bits binary")
+    wanted = sc.broadcast(fold_chunks(spark, asked_for.mapInArrow(_mark, "chunk int, part binary"), 64, "uint8", WANTED, np.bitwise_or))
+    raw = source.where("doc_id IS NOT NULL").select("text").mapInArrow(_sets(words, wanted), "s1 long, s2 long, shingles binary, bits binary")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = raw.repartition(buckets, "s1", "s2").groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
     with batches_of(spark, 2000), write_bucketed(spark, sets, "shingles", ["s1", "s2"], buckets) as sets:
+        wanted.destroy()  # the sets are written by now
         linked = _linked(spark, sets, stars, left, classes, percent)
 
     classes = classes.join(linked, "class", "left").where("copies > 1 OR component IS NOT NULL")
