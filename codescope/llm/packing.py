@@ -109,6 +109,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
                     arrays.append(pa.array([np.frombuffer(p, "<i4") for p in parts], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        encode.ids.clear()  # the worker outlives the task, and other stages run in it
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema)
 

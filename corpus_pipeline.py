@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codescope.llm import language, lines, mixing, ngram_join, packing
-from codescope.llm.common import write_through
+from codescope.llm.common import batches_of, write_through
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language; those without a letter or of doubtful language go."""
-    return language.keep_known(spark, docs)
+    """Documents of a known language; those without a letter or of doubtful language go.
+
+    Written here: texts go to the workers and back in batches that are small whatever the reader of the stage has set.
+    """
+    with batches_of(spark, 1000):
+        return write_through(spark, language.keep_known(spark, docs), "known")
 
 
 def recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

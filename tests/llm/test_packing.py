@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
@@ -147,3 +148,19 @@ def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"word{k} of text") for k in range(20)], "doc_id long, text string")
     assert packing.pack_documents(spark, docs, path("byte_bpe_50k.json")).count() == 20
     assert dict(limits)["pieces"] <= 1000
+
+
+def test_a_worker_keeps_no_pieces_after_its_task(spark):
+    """Workers go on to other tasks and stages: what one remembers of its texts ends with its task."""
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(50)], "doc_id long, text string").coalesce(1)
+
+    def left(batches):
+        import sys
+
+        list(batches)
+        encoders = getattr(sys.modules.get("_codescope_worker"), "encoders", {})
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(e.ids) for e in encoders.values())], pa.int64())})
+
+    for _ in range(8):  # whichever workers take the tasks
+        assert packing.token_pieces(docs, FILE).count() == 50
+    assert {r["n"] for r in docs.repartition(8).mapInArrow(left, "n long").collect()} == {0}
